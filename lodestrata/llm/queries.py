@@ -37,8 +37,27 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "benchmark", "item_id", "text"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.abuse import FOUND_FROM, scored
+
+    return scored(spread(table(spark, d, "documents", "doc_id", "text"))).filter(F.col("score") >= FOUND_FROM).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.abuse import scored
+
+    return scored(spread(table(spark, d, "documents", "doc_id", "text")))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.abuse import rates, scored
+
+    docs = table(spark, d, "documents", "doc_id", "text", "source")
+    return rates(docs, scored(spread(docs.select("doc_id", "text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
