@@ -25,6 +25,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(_p1_texts(spark, d)).select(name.alias("field"), F.col("rec").alias("record_id"), "from_pos", "to_pos")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.secrets import found
+
+    return found(spread(table(spark, d, "findings", "finding_id", "snippet")))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.secrets import scan
+
+    return scan(spread(table(spark, d, "findings", "finding_id", "snippet")), "finding_id", "snippet").select("finding_id", F.col("masked").alias("snippet"))
+
+
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.secrets import scan
+
+    return scan(spread(table(spark, d, "source_files", "file_id", "content")), "file_id", "content").select("file_id", "n", F.col("masked").alias("content"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.tokenize import encode_corpus
 
@@ -57,7 +75,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_files": p3_files, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
