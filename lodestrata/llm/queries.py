@@ -43,6 +43,22 @@ def p3_files(spark: SparkSession, d: str) -> DataFrame:
     return scan(spread(table(spark, d, "source_files", "file_id", "content")), "file_id", "content").select("file_id", "n", F.col("masked").alias("content"))
 
 
+def _files(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return spread(table(spark, d, "source_files", "file_id", "language_id", *more, "content"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.handwritten import classified
+
+    return classified(_files(spark, d, "file_path")).filter("kind IS NOT NULL").select("file_id").distinct()
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.handwritten import classified
+
+    return classified(_files(spark, d, "file_path")).distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.tokenize import encode_corpus
 
@@ -75,7 +91,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_files": p3_files, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_files": p3_files, "p4_found": p4_found, "p4_kinds": p4_kinds, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
