@@ -59,6 +59,24 @@ def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
     return classified(_files(spark, d, "file_path")).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.validity import parsed
+
+    return parsed(_files(spark, d)).filter("NOT valid").select("file_id").distinct()
+
+
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.validity import parsed
+
+    return parsed(_files(spark, d)).distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.validity import rates
+
+    return rates(_files(spark, d, "repo"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.tokenize import encode_corpus
 
@@ -91,7 +109,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_files": p3_files, "p4_found": p4_found, "p4_kinds": p4_kinds, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_files": p3_files, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
