@@ -25,6 +25,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(_p1_texts(spark, d)).select(name.alias("field"), F.col("rec").alias("record_id"), "from_pos", "to_pos")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.docpairs import found
+
+    return found(_files(spark, d, "repo"))
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.docpairs import pairs
+
+    return pairs(_files(spark, d, "repo"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.secrets import found
 
@@ -109,7 +121,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_files": p3_files, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_files": p3_files, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
