@@ -9,6 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+def micros(name: str):
+    """Microseconds of a timestamp with or without zone."""
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
+def seconds(name: str):
+    return F.unix_seconds(F.col(name).cast("timestamp"))
+
+
 CONVENTIONAL = r"^(feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(\([^)]*\))?!?: "
 WEEKS = 76
 
@@ -44,8 +53,8 @@ def churn(touched: DataFrame) -> DataFrame:
 
 def churn_weight(touched: DataFrame) -> DataFrame:
     """Per file the sum of logistic recency weights of its changes: 1 / (1 + e^(12 - 12 t)), t from 0 (first) to 1 (last) of its repo."""
-    bounds = touched.groupBy("repo").agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))
-    t = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.unix_micros("ts") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    bounds = touched.groupBy("repo").agg(F.min(micros("ts")).alias("lo"), F.max(micros("ts")).alias("hi"))
+    t = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((micros("ts") - F.col("lo")) / (F.col("hi") - F.col("lo")))
     w = 1 / (1 + F.exp(-12 * t + 12))
     return touched.join(bounds, "repo").groupBy("repo", "rel_path").agg(F.round(F.sum(w), 4).alias("weight"))
 
@@ -53,7 +62,7 @@ def churn_weight(touched: DataFrame) -> DataFrame:
 def weekly(touched: DataFrame) -> DataFrame:
     """Touches by repo, extension and week before the repo's last commit (0: the last), WEEKS weeks at most."""
     last = touched.groupBy("repo").agg(F.max("ts").alias("last_ts"))
-    week = F.floor((F.unix_seconds(F.col("last_ts")) - F.unix_seconds(F.col("ts"))) / (7 * 86400)).cast("int")
+    week = F.floor((seconds("last_ts") - seconds("ts")) / (7 * 86400)).cast("int")
     ext = F.regexp_extract("rel_path", r"\.([A-Za-z0-9]+)$", 1)
     return touched.join(last, "repo").select("repo", ext.alias("ext"), week.alias("week")).filter(F.col("week") < WEEKS).groupBy("repo", "ext", "week").agg(F.count("*").alias("touches"))
 

@@ -18,7 +18,7 @@ def leaks(lines: DataFrame, rules=LEAKS) -> DataFrame:
         on = F.col("language_id").isin(*langs) & ~F.col("comment")
         a, r = on & F.col("stripped").rlike(acquire), on & F.col("stripped").rlike(release)
         marks.append(F.when(a | r, F.struct(F.lit(rule_id).alias("rule_id"), a.alias("acquire"), r.alias("release"))))
-    hit = lines.select("file_id", "line_no", "raw", F.explode(F.array_compact(F.array(*marks))).alias("m")).select("file_id", "line_no", "raw", "m.*")
+    hit = lines.select("file_id", "line_no", "raw", F.explode_outer(F.array_compact(F.array(*marks))).alias("m")).filter("m IS NOT NULL").select("file_id", "line_no", "raw", "m.*")
     n = hit.groupBy("file_id", "rule_id").agg(F.sum(F.col("acquire").cast("int")).alias("a"), F.sum(F.col("release").cast("int")).alias("r"))
     ratio = F.coalesce(*(F.when(F.col("rule_id") == x[0], F.lit(x[5])) for x in rules))
     margin = F.coalesce(*(F.when(F.col("rule_id") == x[0], F.lit(x[6])) for x in rules))

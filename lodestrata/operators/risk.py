@@ -24,7 +24,7 @@ def coverage_of(functions: DataFrame, coverage: DataFrame) -> DataFrame:
     return j.groupBy(*functions.columns).agg(F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(0.0)).alias("covered"))
 
 
-def rank(functions: DataFrame, weights: DataFrame) -> DataFrame:
+def rank(functions: DataFrame, weights: DataFrame, digits: int = 2) -> DataFrame:
     """CRAP and churn-weighted risk of each function.
 
     functions: file_id, repo, rel_path, symbol, start_line, ccn, covered. A file of a
@@ -33,7 +33,7 @@ def rank(functions: DataFrame, weights: DataFrame) -> DataFrame:
     known = weights.select("repo").distinct().withColumn("known", F.lit(True))
     j = functions.join(weights, ["repo", "rel_path"], "left").join(known, "repo", "left")
     w = F.coalesce("weight", F.when(F.col("known"), F.lit(0.0)).otherwise(F.lit(1.0)))
-    return j.select("file_id", "symbol", "start_line", "ccn", crap_score(F.col("ccn").cast("double"), F.col("covered")).alias("crap"), F.round(F.col("ccn") * w, 2).alias("risk"))
+    return j.select("file_id", "symbol", "start_line", "ccn", crap_score(F.col("ccn").cast("double"), F.col("covered")).alias("crap"), F.round(F.col("ccn") * w, digits).alias("risk"))
 
 
 def attach_by_suffix(artefact: DataFrame, files: DataFrame) -> DataFrame:

@@ -77,7 +77,9 @@ def line_findings(lines: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     out = None
     for k in range(0, len(rules), CHUNK):
         hits = F.array_compact(F.array(*(F.when(_hit(r), F.lit(r.rule_id)) for r in rules[k : k + CHUNK])))
-        part = lines.withColumn("hits", hits).filter(F.size("hits") > 0).withColumn("rule_id", F.explode("hits")).drop("hits")
+        # outer, then filtered: an inner explode has the optimizer push size(hits) > 0 below the
+        # projection of ``stripped`` and compute every strip and rule twice
+        part = lines.withColumn("rule_id", F.explode_outer(hits)).filter("rule_id IS NOT NULL")
         out = part if out is None else out.unionByName(part)
     return out
 

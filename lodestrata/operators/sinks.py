@@ -23,21 +23,18 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select("rule_id", F.to_json(result).alias("result"))
 
 
-def write_sarif(findings: DataFrame, path: str, tool: str = "lodestrata") -> None:
-    """A SARIF 2.1.0 log as text files of one folder: the head, the results in parts, the tail.
-
-    Concatenated in name order the parts are the log; nothing is collected to the driver but the distinct rules.
-    """
-    rules = [r["rule_id"] for r in findings.select("rule_id").distinct().orderBy("rule_id").collect()]
+def write_sarif(findings: DataFrame, path: str, tool: str = "lodestrata") -> int:
+    """One SARIF 2.1.0 file; results stream through the driver partition by partition. The number of results."""
+    rules = [r["rule_id"] for r in findings.select("rule_id").distinct().orderBy("rule_id").collect()]  # one row a rule
     driver = {"name": tool, "rules": [{"id": r} for r in rules]}
-    head = '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":' + json.dumps(driver) + '},"results":['
-    spark = findings.sparkSession
-    results = sarif_results(findings).select("result")
-    spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/a_head")
-    # the first result has no comma before it: an empty object list of one null is dropped by readers, so results end with a comma but the last part closes with a sentinel
-    results.select(F.concat("result", F.lit(",")).alias("value")).write.mode("overwrite").text(f"{path}/b_results")
-    last = json.dumps({"ruleId": "end", "level": "none", "message": {"text": "end of results"}})
-    spark.createDataFrame([(last + "]}]}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/c_tail")
+    n = 0
+    with open(path, "w", encoding="utf-8") as out:
+        out.write('{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":' + json.dumps(driver) + '},"results":[')
+        for row in sarif_results(findings).select("result").toLocalIterator():
+            out.write(("," if n else "") + row["result"])
+            n += 1
+        out.write("]}]}")
+    return n
 
 
 def markdown(df: DataFrame, title: str, top: int = 100) -> str:

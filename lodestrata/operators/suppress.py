@@ -34,7 +34,7 @@ def suppressions(lines: DataFrame) -> DataFrame:
         b = F.lit(None).cast("int") if last is None else F.col("line_no") + last
         hits.append(F.when(F.col("raw").rlike(pattern), F.struct(a.alias("from_line"), b.alias("to_line"), names.alias("names"))))
     marked = lines.filter(F.col("raw").rlike(r"(?i)noqa|pylint|nosec|nolint|eslint-disable|NOSONAR|SuppressWarnings|swiftlint"))
-    return marked.select("file_id", F.explode(F.array_compact(F.array(*hits))).alias("s")).select("file_id", "s.*")
+    return marked.select("file_id", F.explode_outer(F.array_compact(F.array(*hits))).alias("s")).filter("s IS NOT NULL").select("file_id", "s.*")
 
 
 def unsuppressed(findings: DataFrame, spans: DataFrame) -> DataFrame:

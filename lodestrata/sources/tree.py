@@ -28,7 +28,7 @@ def read_tree(spark: SparkSession, root: str, repo: str = "", excluded: tuple[st
     """Files below a root: (repo, file_path, rel_path, language_id, is_test, is_generated, bytes, modified, content).
 
     Hidden and excluded folders are left out by path predicates; files over
-    ``max_bytes`` keep their row with null content.
+    ``max_bytes`` keep their row with null content; empty files give no row.
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
