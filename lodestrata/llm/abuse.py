@@ -67,6 +67,13 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]([ .\-_~|/·]))(?:[^\W_]\1){1,}[^\W_]
 _SIGNED = re.compile(r"(?<![^\W])[^\W\d_]?[^\W_]*[0-9@$!|*#+€£%][\w@$!|*#+€£%]*[^\W_](?![^\W_])|(?<!\w)[0-9@$][^\W_]*[^\W\d_][^\W_]*")
 _REPEATED = re.compile(r"\b[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*\b")
 _WORD = re.compile(r"[^\W\d_]+")
+_BLANKS = re.compile(r"\S+")
+MEMO_TOKENS = 300_000
+
+
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
+_ALIKE = re.compile(r"\w*[" + "".join(map(chr, LOOKALIKE)) + r"]\w*")
+_LATIN = re.compile("[A-Za-z]")
 
 
 def fold(text: str) -> str:
@@ -77,9 +84,8 @@ def fold(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = repaired(_ZERO.sub("", text))
-    text = re.sub(r"\w*[A-Za-z]\w*", lambda m: m[0].translate(LOOKALIKE), text)
-    text = unicodedata.normalize("NFKD", text.translate(_FOLD))
-    return "".join(c for c in text if not unicodedata.combining(c)).lower()
+    text = _ALIKE.sub(lambda m: m[0].translate(LOOKALIKE) if _LATIN.search(m[0]) else m[0], text)
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_FOLD))).lower()
 
 
 SYMBOLS = 29  # space, a to z, digit, other
@@ -132,6 +138,7 @@ class Decoder:
             self.word[node] = w
         self.letters = {"".join(sorted(w)) for w in LEXICON}
         self.restored = lru_cache(200_000)(self._restored)
+        self.memo: dict[str, str] = {}
 
     def literal(self, token: str) -> float:
         """Cost of the token as it stands."""
@@ -177,14 +184,29 @@ class Decoder:
         cost, word = min(ends)
         return word if cost + PRIOR < self.literal(token) else None
 
-    def restore(self, text: str) -> str:
-        """The folded text with disguised lexicon words written plainly."""
-        text = fold(text)
+    def _token(self, token: str) -> str:
+        """A token between blanks with disguised lexicon words written plainly."""
         swap = lambda m: self.restored(m[0]) or m[0]
-        text = _SPACED.sub(swap, text)
-        text = _SIGNED.sub(swap, text)
-        text = _REPEATED.sub(swap, text)
-        return _WORD.sub(lambda m: (self.restored(m[0]) or m[0]) if m[0] not in PLAIN and "".join(sorted(m[0])) in self.letters else m[0], text)
+        out = _REPEATED.sub(swap, _SIGNED.sub(swap, token))
+        return _WORD.sub(lambda m: (self.restored(m[0]) or m[0]) if m[0] not in PLAIN and "".join(sorted(m[0])) in self.letters else m[0], out)
+
+    def restore(self, text: str) -> str:
+        """The folded text with disguised lexicon words written plainly.
+
+        Each distinct token is decoded once; the memo changes speed only.
+        """
+        text = _SPACED.sub(lambda m: self.restored(m[0]) or m[0], fold(text))
+        changed, memo = {}, self.memo
+        for t in set(text.split()):
+            out = memo.get(t)
+            if out is None:
+                out = self._token(t)
+                if len(memo) >= MEMO_TOKENS:
+                    memo.clear()
+                memo[t] = out
+            if out is not t and out != t:
+                changed[t] = out
+        return _BLANKS.sub(lambda m: changed.get(m[0], m[0]), text) if changed else text
 
 
 def _any(words: list[str]) -> str:
@@ -248,7 +270,14 @@ def sentence_score(s: str) -> float:
     return 0.0
 
 
-_TRIGGER = re.compile("|".join(x.pattern for x in (_INSULT, _ADJECTIVE, _DISMISS, _HATE, _THREAT, _SEX)))
+# Words one of which every pattern above needs; texts without any are not searched further.
+ANCHORS = frozenset(w + end for w in INSULTS for end in ("", "s", "es", "n", "e")) | frozenset(SLURS) | frozenset(
+    """shut lost hell crawl piss fuck screw asked klappe fresse halts verschwinde verpiss ferme gueule degage casse callate vete nadie sirves
+    vermin subhuman subhumans filthy parasites cockroaches animals scum abschaum ungeziefer untermenschen racaille escoria ratas belong belongs hate typical throw gehoren chasse basura deberia deberian
+    break live regret pay suffer cry kill hurt beat stab shoot hunt destroy rape choke find kys miss disappear waste die rot burn hang watch
+    dich wohnst tuer casser frapper retrouver habites matar romper encontrar partir vives
+    naked nude nudes topless body ass tits breasts shirt clothes top pants bra dress horny sleep sex moaning suck blowjob job boobs pussy cock dick zieh nacktfotos nacktbilder nackt schlaf nue nues coucher deshabille desnuda desnudas desnudo desnudos desnudate acuestate quiero""".split()
+)
 
 
 class Scorer:
@@ -259,10 +288,11 @@ class Scorer:
         if not text or not text.strip():
             return 0.0
         restored = self.decoder.restore(text)
+        words = set(_WORD.findall(restored))
+        if ANCHORS.isdisjoint(words) and not any(w.startswith("masturbat") for w in words):
+            return 0.0
         # comment and quote marks at line starts, then line breaks inside sentences, do not matter
         restored = re.sub(r"\n[ \t]*(?://+|\*+|#+|>+|--|;|\"\"\"|/\*+)?[ \t]*(?=\S)", " ", restored)
-        if not _TRIGGER.search(restored):
-            return 0.0
         return max(map(sentence_score, _SENTENCE.split(restored)))
 
 
