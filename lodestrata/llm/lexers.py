@@ -24,7 +24,7 @@ KEYWORDS = {
 }
 KEYWORDS = {k: frozenset(v.split()) for k, v in KEYWORDS.items()}
 
-_NUM = r"0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?\w*|0[bB][01_]+\w*|0[oO][0-7_]+\w*|(?:\d[\d_]*(?:\.(?![.A-Za-z_])[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?\w*"
+_NUM = r"0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?\w*|0[bB][01_]+\w*|0[oO][0-7_]+\w*|(?:\d[\d_]*(?:\.(?![.A-Za-z_])[\d_]*)?|[.]\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?\w*"
 _TAIL = r"(?P<ID>[^\W\d]\w*)|(?P<NUM>" + _NUM + ")"
 _LINE, _BLOCK = r"//[^\n]*", r"/\*(?s:.*?)\*/"
 _DQ, _SQ = r'"(?:[^"\\\n]|\\(?s:.))*"', r"'(?:[^'\\\n]|\\(?s:.))*'"
@@ -38,7 +38,7 @@ _PATTERNS = {
     "go": rf"(?P<WS>\s+)|(?P<COM>{_LINE}|{_BLOCK})|{_TAIL}|(?P<STR>{_DQ}|`[^`]*`)|(?P<CHR>'(?:\\[^\n]{{1,10}}?|[^'\\\n])')|(?P<OP>{_signs('<<= >>= &^= ... && || <- ++ -- == != <= >= := += -= *= /= %= &= |= ^= << >> &^ + - * / % & | ^ < > = ! ( ) [ ] { } , ; . : ~')})",
     "java": rf'(?P<WS>\s+)|(?P<COM>{_LINE}|{_BLOCK})|(?P<ID>(?:[^\W\d]|\$)[\w$]*)|(?P<NUM>{_NUM})|(?P<STR>"""(?s:(?:[^\\]|\\.)*?)"""|{_DQ})|(?P<CHR>\'(?:\\[^\n]{{1,6}}?|[^\'\\\n])\')|(?P<OP>{_signs(">>>= <<= >>= ... -> :: ++ -- && || == != <= >= += -= *= /= &= |= ^= %= << + - * / & | ^ % < > = ! ~ ? : ( ) [ ] { } ; , . @")})',
     "ts": rf"(?P<WS>\s+)|(?P<COM>{_LINE}|{_BLOCK}|\A#![^\n]*)|(?P<ID>#?(?:[^\W\d]|\$)[\w$]*)|(?P<NUM>{_NUM})|(?P<STR>{_DQ}|{_SQ})|(?P<TPL>`)|(?P<OP>{_signs('>>>= ... <<= >>= **= &&= ||= ??= === !== => ** ++ -- && || ?? ?. == != <= >= += -= *= /= %= &= |= ^= << + - * / % & | ^ ~ < > = ! ? : ( ) [ ] { } ; , . @')})",
-    "rust": rf"""(?P<WS>\s+)|(?P<COM>{_LINE})|(?P<NEST>/\*)|(?P<STR>b?r(?P<h>#+)"(?s:.*?)"(?P=h)|b?r"[^"]*"|[bc]?"(?:[^"\\]|\\(?s:.))*")|(?P<CHR>b?'(?:\\[^\n']{{1,10}}|\\'|[^'\\\n])')|(?P<LIFE>'[A-Za-z_]\w*)|(?P<ID>(?:r\#)?[^\W\d]\w*)|(?P<NUM>{_NUM})|(?P<OP>{_signs('<<= >>= ..= ... => -> :: .. && || == != <= >= += -= *= /= %= ^= &= |= << + - * / % ^ ! & | = < > @ . , ; : # $ ? ( ) [ ] { } ~')})""",
+    "rust": rf"""(?P<WS>\s+)|(?P<COM>{_LINE})|(?P<NEST>/\*)|(?P<STR>b?r(?P<h>#+)"(?s:.*?)"(?P=h)|b?r"[^"]*"|[bc]?"(?:[^"\\]|\\(?s:.))*")|(?P<CHR>b?'(?:\\[^\n']{{1,10}}|\\'|[^'\\\n])')|(?P<LIFE>'[A-Za-z_]\w*)|(?P<ID>(?:r\#)?[^\W\d]\w*)|(?P<NUM>{_NUM.replace("|[.]", "|(?!)[.]")})|(?P<OP>{_signs('<<= >>= ..= ... => -> :: .. && || == != <= >= += -= *= /= %= ^= &= |= << + - * / % ^ ! & | = < > @ . , ; : # $ ? ( ) [ ] { } ~')})""",
 }
 _MASTER = {k: re.compile(v) for k, v in _PATTERNS.items()}
 _GO_ENDS = frozenset("ID NUM STR CHR return break continue fallthrough ++ -- ) ] }".split())
