@@ -73,6 +73,7 @@ MEMO_TOKENS = 300_000
 
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
 _ALIKE = re.compile(r"\w*[" + "".join(map(chr, LOOKALIKE)) + r"]\w*")
+_RARE = re.compile("[" + _ZERO.pattern[1:-1] + "Â-ß" + "".join(map(chr, LOOKALIKE)) + "]")
 _LATIN = re.compile("[A-Za-z]")
 
 
@@ -83,22 +84,21 @@ def fold(text: str) -> str:
     """
     if text.isascii():
         return text.lower()
-    text = repaired(_ZERO.sub("", text))
-    text = _ALIKE.sub(lambda m: m[0].translate(LOOKALIKE) if _LATIN.search(m[0]) else m[0], text)
+    if _RARE.search(text):
+        text = repaired(_ZERO.sub("", text))
+        text = _ALIKE.sub(lambda m: m[0].translate(LOOKALIKE) if _LATIN.search(m[0]) else m[0], text)
     return _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_FOLD))).lower()
 
 
 SYMBOLS = 29  # space, a to z, digit, other
 
 
+_CODES = bytes(c - 96 if 97 <= c <= 122 else 27 if 48 <= c <= 57 else 0 if c in b" \n\t\r" else 28 for c in range(256))
+
+
 def symbols(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-    out = np.full(len(raw), 28, np.int64)
-    letters = (raw >= 97) & (raw <= 122)
-    out[letters] = raw[letters] - 96
-    out[(raw >= 48) & (raw <= 57)] = 27
-    out[(raw == 32) | (raw == 10) | (raw == 9) | (raw == 13)] = 0
-    return out
+    """Symbols of a folded text: 0 blank, 1 to 26 letters, 27 digit, 28 any other sign."""
+    return np.frombuffer(text.encode("ascii", "replace").translate(_CODES), np.uint8).astype(np.int32)
 
 
 def character_model(texts: DataFrame) -> list[int]:
