@@ -57,7 +57,7 @@ STARS = "*#%_"
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKE = str.maketrans("авсеһіјкмнорԛѕтухуԁɡӏαβεικνορτυχγοАВСЕНІЈКМОРЅТХУ", "abcehijkmhopqstyxydglabeikvoptuxyoABCEHIJKMOPSTXY")
 _ZERO = re.compile("[­​-‏⁠-⁤️﻿]")
-_FOLD = {ord("ß"): "ss", ord("’"): "'", ord("`"): "`", ord("ø"): "o", ord("ł"): "l"}
+_FOLD = {"ß": "ss", "’": "'", "ø": "o", "ł": "l"}
 
 COST_SIGN, COST_STAR, COST_REPEAT, COST_DROP, COST_SWAP = 1.5, 2.6, 0.4, 0.25, 4.0
 #: Cost of choosing a word of the lexicon at all.
@@ -87,7 +87,9 @@ def fold(text: str) -> str:
     if _RARE.search(text):
         text = repaired(_ZERO.sub("", text))
         text = _ALIKE.sub(lambda m: m[0].translate(LOOKALIKE) if _LATIN.search(m[0]) else m[0], text)
-    return _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_FOLD))).lower()
+    for c, plain in _FOLD.items():
+        text = text.replace(c, plain)
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
 
 
 SYMBOLS = 29  # space, a to z, digit, other
