@@ -8,7 +8,14 @@ leave: banners that say the file itself was made or copied, and the folders that
 package managers and people keep third-party code in. Words about generated or
 vendored things elsewhere ("reads files that ... has generated") are no banner.
 
-One narrow stage: counts are taken on bytes, nothing is shuffled but ids.
+Layout is judged in one narrow stage: counts are taken on bytes and nothing is
+shuffled but ids.
+
+Copies of third-party files that carry neither banner nor folder are found by a
+second stage: MinHash signatures of five-word shingles, joined by bands with
+those of the files known to be vendored; a similarity of 0.8 or more tells a
+copy. For each band and bucket one known file stands for all, so a library with
+many copies costs no more, and no pairs within a group are formed.
 
 Defined results: null or empty content is judged by its path alone; a null
 language (configuration) is never flagged; repeated ids give one row.
@@ -17,11 +24,14 @@ language (configuration) is never flagged; repeated ids give one row.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed word lists.
 THIRD_PARTY_FOLDERS = frozenset("vendor third_party third-party thirdparty node_modules bower_components 3rd 3rdparty contrib deps external externals Pods Carthage site-packages jspm_packages Godeps".split())
@@ -127,3 +137,65 @@ def classified(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], names=["file_id", "kind"])
 
     return files.select("file_id", "language_id", "file_path", "content").mapInArrow(run, "file_id long, kind string")
+
+
+# --- copies without a mark ---------------------------------------------------
+WORDS, SIMILAR, HASHES, BANDS, MIN_SHINGLES = 5, 0.8, 64, 16, 20
+_TOKEN = re.compile(r"\w+")
+_SEEDS = np.random.default_rng(1).integers(1, 2**63, (2, HASHES), np.uint64) | np.uint64(1)
+
+
+@lru_cache(200_000)
+def _number(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace"))
+
+
+def signature(text: str) -> np.ndarray | None:
+    """MinHash of a text's distinct five-word shingles; None for short texts."""
+    words = _TOKEN.findall(text)
+    n = len(words) - WORDS + 1
+    if n < MIN_SHINGLES:
+        return None
+    w = np.fromiter(map(_number, words), np.uint64, len(words))
+    h = w[:n].copy()
+    for k in range(1, WORDS):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
+        h ^= h >> np.uint64(29)
+    h = np.unique(h)
+    if len(h) < MIN_SHINGLES:
+        return None
+    out = np.empty(HASHES, np.uint64)
+    for k in range(HASHES):
+        out[k] = ((h * _SEEDS[0, k]) ^ (h >> np.uint64(31)) * _SEEDS[1, k]).min()
+    return (out >> np.uint64(32)).astype(np.int64)
+
+
+def _signed(files: DataFrame) -> DataFrame:
+    """(file_id, kind, sig): the kind by layout and marks, and the signature of files that are vendored or have no kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, sigs = [], []
+            for lang, path, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                text = text.as_py()
+                k = kind(lang, path, text)
+                s = signature(text) if text and lang is not None and k in (None, "vendored") else None
+                kinds.append(k)
+                sigs.append(None if s is None else s.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(sigs, pa.list_(pa.int64()))], names=["file_id", "kind", "sig"])
+
+    return files.select("file_id", "language_id", "file_path", "content").mapInArrow(run, "file_id long, kind string, sig array<long>")
+
+
+def found(files: DataFrame) -> DataFrame:
+    """``(file_id, kind)`` of the files that aren't hand-written, unmarked copies of vendored ones among them; an id comes once."""
+    from lodestrata.sources.tables import cut
+
+    signed = cut(_signed(files))
+    rows = HASHES // BANDS
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))
+    banded = signed.filter("sig IS NOT NULL").select("file_id", "kind", "sig", F.posexplode(bands).alias("band", "bucket"))
+    known = banded.filter("kind = 'vendored'").groupBy("band", "bucket").agg(F.min("sig").alias("other"))
+    same = F.aggregate(F.zip_with("sig", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
+    near = banded.filter("kind IS NULL").join(known, ["band", "bucket"]).filter(same >= SIMILAR * HASHES).select("file_id", F.lit("vendored").alias("kind"))
+    return signed.filter("kind IS NOT NULL").select("file_id", "kind").union(near).groupBy("file_id").agg(F.min("kind").alias("kind"))

@@ -60,9 +60,9 @@ def _files(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    from lodestrata.llm.handwritten import classified
+    from lodestrata.llm.handwritten import found
 
-    return classified(_files(spark, d, "file_path")).filter("kind IS NOT NULL").select("file_id").distinct()
+    return found(_files(spark, d, "file_path")).select("file_id")
 
 
 def p4_kinds(spark: SparkSession, d: str) -> DataFrame:

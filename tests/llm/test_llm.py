@@ -140,6 +140,15 @@ def test_handwritten(language, path, text, want):
     assert handwritten.kind(language, path, text) == want
 
 
+def test_unmarked_copies(spark):
+    words = [f"name{k}" for k in range(400)]
+    lib = "// This copy of x was taken from upstream at 1.2.3.\n" + "\n".join(words)
+    rows = [(1, "go", "a/b.go", lib), (2, "go", "a/c.go", "\n".join(words[:200] + ["patched"] + words[200:])), (3, "go", "a/d.go", "\n".join(words[:150])), (4, None, "a/e.yaml", "\n".join(words)), (5, "go", "a/f.go", None), (2, "go", "a/c.go", "\n".join(words[:200] + ["patched"] + words[200:]))]
+    f = spark.createDataFrame(rows, "file_id long, language_id string, file_path string, content string")
+    assert sorted(tuple(r) for r in handwritten.found(f).collect()) == [(1, "vendored"), (2, "vendored")]
+    assert handwritten.found(f.limit(0)).count() == 0
+
+
 # --- 5 -----------------------------------------------------------------------
 GOOD = {
     "go": ["package a\n\nimport (\n\t\"fmt\"\n\tx \"a/b\"\n)\n\ntype T[K comparable, V any] struct {\n\ta, b int `json:\"a\"`\n\t*U\n}\n\nfunc (t *T[K, V]) F(a int, b ...string) (n int, err error) {\n\tfor i, v := range xs {\n\t\tif v, ok := m[i]; ok && v > 1 {\n\t\t\tcontinue\n\t\t} else if x == (T{1}) {\n\t\t\tbreak\n\t\t}\n\t}\n\tswitch y := z.(type) {\n\tcase int, *T:\n\t\tdefer func() { recover() }()\n\tdefault:\n\t\tgo f(<-c)\n\t}\n\tselect {\n\tcase c <- 1:\n\tcase v := <-c:\n\t\t_ = v\n\t}\n\treturn map[string][]int{\"a\": {1, 2}}[k][1:2], nil\n}\n"],
