@@ -645,6 +645,44 @@ def sarif_rows(spark, d):
     return f.select("finding_id", F.to_json(F.struct(F.col("rule_id").alias("ruleId"), _mapped(LEVEL, "severity").alias("level"))).alias("result"))
 
 
+# --- shape of the code base --------------------------------------------------
+@query()
+def architecture_patterns(spark, d):
+    from lodestrata.operators.architecture import pattern_scores
+
+    types = symbols.declarations(code(spark, d)).filter("kind = 'type'").join(files(spark, d).select("file_id", "repo"), "file_id")
+    return pattern_scores(types, "repo")
+
+
+@query()
+def technologies(spark, d):
+    from lodestrata.operators.architecture import technologies as found
+
+    return found(symbols.imports(code(spark, d)))
+
+
+@query()
+def shared_state(spark, d):
+    from lodestrata.operators.architecture import topology
+
+    return topology(code(spark, d))
+
+
+_CULTURE = f"WITH {FUNCS}, {FINDINGS}, {FILES}, m AS (SELECT fn.repo, count(*) FILTER (loc > 200) AS god, max(loc) AS longest, count(*) FILTER (nesting >= 4) AS cubes, count(*) FILTER (nesting = 3) AS squares FROM fn GROUP BY fn.repo), s AS (SELECT f.repo, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium FROM f JOIN rules USING (rule_id) WHERE NOT suppressed GROUP BY f.repo)"
+
+
+@query(_CULTURE + " SELECT m.repo, god, longest, cubes, squares, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, CAST(floor(5 + 95 * exp(-(7 * coalesce(high, 0) + 2 * coalesce(medium, 0)) / 40.0) + 0.5) AS INTEGER) AS security, CASE WHEN cubes = 0 AND squares = 0 THEN 80 ELSE CAST(floor(5 + 95 * exp(-(7 * cubes + 2 * squares) / 40.0) + 0.5) AS INTEGER) END AS complexity FROM m LEFT JOIN s ON m.repo = s.repo")
+def culture_measures(spark, d):
+    from lodestrata.operators import culture
+
+    n = lambda c: F.sum(c.cast("long"))
+    fn = functions(spark, d)
+    m = fn.groupBy("repo").agg(n(F.coalesce(F.col("loc") > 200, F.lit(False))).alias("god"), F.max("loc").alias("longest"), n(F.coalesce(F.col("nesting") >= 4, F.lit(False))).alias("cubes"), n(F.coalesce(F.col("nesting") == 3, F.lit(False))).alias("squares"))
+    s = findings(spark, d).filter("NOT suppressed").join(table(spark, d, "rules", "rule_id", "severity"), "rule_id").groupBy("repo").agg(n(F.col("severity") == "HIGH").alias("high"), n(F.col("severity") == "MEDIUM").alias("medium"))
+    j = m.join(s, "repo", "left").fillna(0, ["high", "medium"])
+    return j.withColumn("security", culture.security(F.col("high"), F.col("medium"))).withColumn("complexity", culture.complexity(F.col("cubes"), F.col("squares")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in QUERIES.items()}
 

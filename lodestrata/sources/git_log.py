@@ -60,3 +60,79 @@ class GitLog(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return GitLogReader(self.options["path"].split(","), self.options.get("kind", "commits"), self.options.get("since"))
+
+
+DIFF = "path string, new_start int, new_count int, old_start int"
+
+
+class GitDiffReader(DataSourceReader):
+    """Hunks between two revisions of one repository."""
+
+    def __init__(self, path: str, base: str, head: str):
+        self.path, self.base, self.head = path, base, head
+
+    def read(self, partition) -> Iterator[tuple]:
+        import re
+
+        out = subprocess.run(["git", "-C", self.path, "diff", "-U0", "--no-color", "--no-renames", self.base, self.head], capture_output=True, text=True, errors="replace", check=True).stdout
+        path = ""
+        for line in out.splitlines():
+            if line.startswith("+++ "):
+                path = line[6:] if line.startswith("+++ b/") else ""
+            elif path and (m := re.match(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,(\d+))? @@", line)):
+                yield path, int(m[2]), int(m[3] or 1), int(m[1])
+
+
+class GitDiff(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "git_diff"
+
+    def schema(self) -> str:
+        return DIFF
+
+    def reader(self, schema) -> DataSourceReader:
+        return GitDiffReader(self.options["path"], self.options["base"], self.options.get("head", "HEAD"))
+
+
+BLAME = "rel_path string, line_no int, author string, sha string"
+
+
+class _File(InputPartition):
+    def __init__(self, rel_path: str):
+        self.rel_path = rel_path
+
+
+class GitBlameReader(DataSourceReader):
+    """Author and commit of each line of the named files, one partition a file."""
+
+    def __init__(self, path: str, files: list[str]):
+        self.path, self.files = path, files
+
+    def partitions(self) -> list[InputPartition]:
+        return [_File(f) for f in self.files]
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        run = subprocess.run(["git", "-C", self.path, "blame", "--line-porcelain", "--", partition.rel_path], capture_output=True, text=True, errors="replace")
+        sha, number, author = "", 0, ""
+        for line in run.stdout.splitlines():
+            if line.startswith("\t"):
+                yield partition.rel_path, number, author, sha
+            elif line.startswith("author "):
+                author = line[7:]
+            else:
+                head = line.split(" ")
+                if len(head) >= 3 and len(head[0]) == 40 and head[2].isdigit():
+                    sha, number = head[0], int(head[2])
+
+
+class GitBlame(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "git_blame"
+
+    def schema(self) -> str:
+        return BLAME
+
+    def reader(self, schema) -> DataSourceReader:
+        return GitBlameReader(self.options["path"], self.options["files"].split(","))

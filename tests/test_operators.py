@@ -300,3 +300,32 @@ def test_partitions_do_not_change_results(spark, sf):
         assert out[0] == out[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_architecture(spark):
+    from lodestrata.operators import architecture as A
+
+    t = spark.createDataFrame([("UserViewModel",), ("OrderViewModel",), ("AppCoordinator",), ("Plain",)], "name string")
+    assert {r["pattern"]: r["score"] for r in A.pattern_scores(t).collect()} == {"MVVM": 0.75}
+    m = spark.createDataFrame([("OrderEntity", 2, 3), ("Bag", 0, 4)], "name string, methods int, fields int")
+    f = spark.createDataFrame([("src/domain/a.go",), ("src/infra/b.go",)], "rel_path string")
+    r = A.domain_model(m, f).first()
+    assert (r["rich"], r["anemic"], r["tactics"]) == (1, 1, 1) and r["score"] == pytest.approx(100 * (0.4 * 0.5 + 0.35 * 0.2 + 0.25 * 0.75), abs=0.01)
+    d = spark.createDataFrame([("protocol", False), ("struct", False), ("class", True)], "kind string, has_base boolean")
+    assert A.protocol_orientation(d).first()["score"] == pytest.approx(70.0)
+    a = spark.createDataFrame([("queue", "x"), ("queue", "y")], "kind string, key string")
+    b = spark.createDataFrame([("queue", "y"), ("queue", "z")], "kind string, key string")
+    assert {tuple(r) for r in A.drift(a, b).collect()} == {("queue", "x", "not running"), ("queue", "z", "not declared")}
+    c = code(spark, "import flask\nfrom sqlalchemy.orm import x\n")
+    assert {r["technology"] for r in A.technologies(symbols.imports(c)).collect()} == {"Flask", "SQLAlchemy"}
+
+
+def test_culture(spark):
+    from lodestrata.operators import culture
+
+    row = (1.0, 3, 4, 0, 100, 0, 0.0, 0, 0, 0, 0, 0, 70)
+    df = spark.createDataFrame([row], "kloc double, structures int, algorithms int, god int, longest int, todos int, issue_points double, high int, medium int, cubes int, squares int, leaks int, design int")
+    r = culture.rows(df).first()
+    assert r["security"] == 100 and r["quality"] == int(0.17 * 55 + 0.13 * 80 + 20 + 50 + 0.5) and r["performance"] == int(0.85 * 80 + 15 + 0.5) and r["level"] == "leading"
+    p = spark.createDataFrame([("r", 80.5, 100), ("r", 50.0, 300)], "repo string, overall double, loc int")
+    assert culture.repo_level(p, "repo").first()["overall"] == 57

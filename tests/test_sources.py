@@ -32,6 +32,22 @@ def test_git_log(spark, tmp_path):
     assert [(x["author"], x["subject"], x["is_merge"]) for x in c] == [("n", "feat: one", False)] and [(x["rel_path"], x["added"]) for x in f] == [("a.txt", 2)]
 
 
+def test_git_diff_and_blame(spark, tmp_path):
+    from lodestrata.sources.git_log import GitBlame, GitDiff
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for text in ("1\n2\n", "1\n2\n3\n"):
+        (tmp_path / "a.txt").write_text(text)
+        git("add", ".")
+        git("commit", "-qm", "x")
+    spark.dataSource.register(GitDiff)
+    spark.dataSource.register(GitBlame)
+    d = spark.read.format("git_diff").option("path", str(tmp_path)).option("base", "HEAD~1").load().collect()
+    b = spark.read.format("git_blame").option("path", str(tmp_path)).option("files", "a.txt").load().collect()
+    assert [tuple(x) for x in d] == [("a.txt", 3, 1, 2)] and [(x["line_no"], x["author"]) for x in b] == [(1, "n"), (2, "n"), (3, "n")] and b[0]["sha"] != b[2]["sha"]
+
+
 def test_stream(spark, tmp_path):
     from lodestrata.operators.rule_tables import SECURITY
     from lodestrata.streaming.rules_stream import stream_findings
