@@ -73,7 +73,7 @@ MEMO_TOKENS = 300_000
 
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
 _ALIKE = re.compile(r"\w*[" + "".join(map(chr, LOOKALIKE)) + r"]\w*")
-_RARE = re.compile("[" + _ZERO.pattern[1:-1] + "Â-ß" + "".join(map(chr, LOOKALIKE)) + "]")
+_RARE = re.compile("[" + _ZERO.pattern[1:-1] + "Â-ß\u0080-\u009f€" + "".join(map(chr, LOOKALIKE)) + "]")
 _LATIN = re.compile("[A-Za-z]")
 
 
@@ -85,7 +85,7 @@ def fold(text: str) -> str:
     if text.isascii():
         return text.lower()
     if _RARE.search(text):
-        text = repaired(_ZERO.sub("", text))
+        text = _ZERO.sub("", repaired(text))
         text = _ALIKE.sub(lambda m: m[0].translate(LOOKALIKE) if _LATIN.search(m[0]) else m[0], text)
     for c, plain in _FOLD.items():
         text = text.replace(c, plain)

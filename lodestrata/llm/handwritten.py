@@ -44,7 +44,7 @@ MADE = re.compile(
     r"|^(?:erzeugt|generiert|erstellt) (?:von|durch|mit|aus)\b.*(?:nicht|$)|nicht von hand (?:andern|bearbeiten)|^(?:fichier )?genere (?:par|automatiquement)|ne pas (?:modifier|editer)|^(?:archivo )?generado (?:por|automaticamente)|no (?:editar|modificar)\b|^(?:arquivo )?gerado por|nao edit[ae]",
     re.I,
 )
-COPIED = re.compile(r"taken from upstream|(?:copied|vendored|imported) (?:verbatim )?from upstream|^@license\b|^@preserve\b|released by the \S+ authors under its own terms|released under its own terms", re.I)
+COPIED = re.compile(r"taken from upstream|^imported from (?:https?|git|ssh)\S*|(?:copied|vendored|imported) (?:verbatim )?from upstream|^@license\b|^@preserve\b|released by the \S+ authors under its own terms|released under its own terms", re.I)
 BANG = re.compile(r"^\s*/\*!")
 _COMMENT = re.compile(r"^\s*(?://+!?|#+!?|/\*+!?|\*+/?|--|;+|<!--|\"\"\"|''')\s*(.*?)\s*(?:\*/|-->|\"\"\")?\s*$")
 _ACCESSOR = re.compile(rb"return (?:this|self|&self|&?\w)\.\w+;?[ \t\r]*\n|`json:\"|\n[ \t]*&?self\.\w+(?:\.clone\(\))?[ \t\r]*\n|return self\._\w+\[")

@@ -91,9 +91,9 @@ def asks(name: str) -> bool:
 
 
 _REFERENCE = re.compile(
-    r"^[<\[{(%$].*|.*\$\{|.*\$\(|.*\{\{|^\$[A-Za-z_]|^%[A-Za-z_]+%$|^(?:vault|ssm|secretsmanager|keyring|file|env|arn|kms|op|sops|gsm|awssm|k8s)[:/]|^(?:\.{0,2}/|~/)|^[a-z]+(?:/[a-z_.-]+)+$|^(?:os|process|System|std|env|config|settings|self|this|secrets|ENC)[._:\[(]|^ENC_|://[^@]*$|^data:|^ssh-(?:rsa|ed25519|dss)|BEGIN (?:[A-Z]+ )*PUBLIC|BEGIN CERTIFICATE"
+    r"^[<\[{(%$].*|.*\$\{|.*\$\(|.*\{\{|^\$[A-Za-z_]|^%[A-Za-z_]+%$|^(?:vault|ssm|secretsmanager|keyring|file|env|arn|kms|op|sops|gsm|awssm|k8s)[:/]|^(?:\.{0,2}/|~/)[a-z0-9_.-]+(?:/[a-z0-9_.-]+)*/?$|^[a-z]+(?:/[a-z_.-]+)+$|^(?:os|process|System|std|env|config|settings|self|this|secrets|ENC)[._:\[(]|^ENC_|://[^@]*$|^data:|^ssh-(?:rsa|ed25519|dss)|BEGIN (?:[A-Z]+ )*PUBLIC|BEGIN CERTIFICATE"
 )
-_MASKED = re.compile(r"^(?:[x*•.#_-]+|[X*]+|(?:your|my|the|an?|some|insert|enter|example|dummy|fake|not|replace|change|sample|test|placeholder|redacted|todo)[-_ ].*|.*(?:-here|_here|-me|redacted|placeholder|example|your[_-]).*)$", re.I)
+_MASKED = re.compile(r"^(?:[x*•.#_-]+|[X*]+|(?:your|my|the|an?|some|insert|enter|example|dummy|fake|not|replace|change|sample|test|placeholder|redacted|todo)[-_ ].*|(?:.*(?:-here|_here|-me)$)|.*(?:redacted|placeholder|example|your[_-]).*)$", re.I)
 _ODD_CASE = re.compile(r"[A-Z]{2,}[a-z]|[a-z][A-Z]{2,}|[a-z][A-Z][a-z][A-Z]|[A-Z][a-z][A-Z]|[a-z][A-Z]$")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _DIGEST = re.compile(r"^(?:sha\d+|md5)[-:]", re.I)
@@ -175,7 +175,7 @@ def judge(kind: str, m: str, at: int) -> list[tuple[int, int]]:
     if kind == "header":
         k = m.index(" ") + 1
         v = m[k:].rstrip(".")
-        strong = re.search(r"\d", v) and could_be(v, 12)
+        strong = (re.search(r"\d", v) or _random(v) or _ODD_CASE.search(v)) and could_be(v, 12)
         return [(at + k, at + k + len(v))] if strong else []
     if kind in ("assigned", "concat"):
         head = _ASSIGNED.match(m) if kind == "assigned" else re.match(rf"({_NAME})", m)
@@ -193,7 +193,7 @@ def judge(kind: str, m: str, at: int) -> list[tuple[int, int]]:
         if not g or not asks(g[1]):
             return []
         v = g[3]
-        if re.fullmatch(r"[A-Za-z_$][\w$]*(?:(?:\.|::|->)[\w$]+)*", v) and not re.search(r"\d", v) and not _ODD_CASE.search(v):
+        if re.fullmatch(r"[A-Za-z_$][\w$]*(?:(?:\.|::|->)[\w$]+)*", v) and not re.search(r"\d", v) and not _ODD_CASE.search(v) and not _random(v):
             return []
         return [(at + g.start(3), at + g.end(3))] if could_be(v) else []
     if kind == "fallback":
