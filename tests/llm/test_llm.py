@@ -290,3 +290,28 @@ def test_abuse_frames(spark):
 def test_queries_run(spark, sf):
     for name in ("p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_ids", "p7_found", "p8_found"):
         assert queries.queries()[name](spark, sf).count() >= 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    extra = ", m long, c long, at int, n int, kind string, sig string, ids string, score double, valid boolean, parents string, bucket int, file string"
+    more = (1, 2, 3, 4, "k", "s", "i", 0.5, True, "p", 7, "f")
+    texts = spark.createDataFrame([(0, 1, "abcdefghijkl" * 2, *more), (0, 2, "x" + "abcdefghijkl" * 2, *more)], "field int, rec long, text string" + extra)
+    assert spans.shared_spans(texts, 12).count() == 2
+    files = spark.createDataFrame([(1, "r", "go", "a/vendor/b.go", "package a\n\n// Counts the open tickets of a queue.\nfunc F() {}\n", *more)], "file_id long, repo string, language_id string, file_path string, content string" + extra)
+    assert docpairs.found(files).count() == 1 and docpairs.pairs(files).count() == 1 and handwritten.found(files).count() == 1 and validity.parsed(files).first()["valid"] and validity.rates(files).count() == 1
+    docs = spark.createDataFrame([(1, "shut up, idiot", "chat", *more)], "doc_id long, text string, source string" + extra)
+    assert tokenize.encode_corpus(docs).count() == 1 and abuse.scored(docs).first()["score"] > 0.5
+    items = spark.createDataFrame([(1, "shut up, idiot", *more)], "item_id long, text string" + extra)
+    assert leakage.leaked(docs, items).count() == 1
+    snippets = spark.createDataFrame([(1, 'pw = "Kilevo3409&"', *more)], "finding_id long, snippet string" + extra)
+    assert secrets.found(snippets).count() == 1
+
+
+def test_very_long_texts(spark):
+    long = "word and other words " * 40_000
+    assert abuse.Scorer([1] * abuse.SYMBOLS**3).score(long) == 0.0
+    e = tokenize.encoder(tokenize.vocabulary_path())
+    assert len(e.encode(long)) == len(e.encode(long[:42])) * 20_000 or len(e.encode(long)) > 100_000
+    assert handwritten.kind("python", "a.py", "x = 1\n" * 200_000) is None
+    assert grammars.fails("go", "package a\n" + "var x = 1\n" * 50_000) is None
+    assert secrets.spans("a b c\n" * 200_000) == []
