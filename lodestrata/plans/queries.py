@@ -551,11 +551,12 @@ def dotenv_credentials(spark, d):
 
 # --- then and now ------------------------------------------------------------
 @query(
-    f"WITH {FINDINGS}, m AS (SELECT quantile_disc(epoch_us(found_at), 0.5) AS m FROM f), a AS (SELECT rule_id, count(*) AS n FROM f, m WHERE rule_id IS NOT NULL AND epoch_us(found_at) <= m GROUP BY rule_id), b AS (SELECT rule_id, count(*) AS n FROM f, m WHERE rule_id IS NOT NULL AND epoch_us(found_at) > m GROUP BY rule_id) SELECT coalesce(a.rule_id, b.rule_id) AS rule_id, a.n AS \"then\", b.n AS now, b.n - a.n AS delta FROM a FULL OUTER JOIN b ON a.rule_id = b.rule_id"
+    f"WITH {FINDINGS}, m AS (SELECT quantile_disc(epoch_us(found_at), 0.5) AS m FROM f), a AS (SELECT rule_id, count(*) AS n FROM f, m WHERE rule_id IS NOT NULL AND epoch_us(found_at) <= m GROUP BY rule_id), b AS (SELECT rule_id, count(*) AS n FROM f, m WHERE rule_id IS NOT NULL AND epoch_us(found_at) > m GROUP BY rule_id) SELECT coalesce(a.rule_id, b.rule_id) AS rule_id, coalesce(a.n, 0) AS \"then\", coalesce(b.n, 0) AS now, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL OUTER JOIN b ON a.rule_id = b.rule_id"
 )
 def then_now_compare(spark, d):
     a, b = _halves(spark, d)
-    return evolution.compare(a.groupBy("rule_id").agg(F.count("*").alias("n")), b.groupBy("rule_id").agg(F.count("*").alias("n")), "rule_id", "n")
+    c = evolution.compare(a.groupBy("rule_id").agg(F.count("*").alias("n")), b.groupBy("rule_id").agg(F.count("*").alias("n")), "rule_id", "n")
+    return c.fillna(0, ["then", "now"]).withColumn("delta", F.col("now") - F.col("then"))
 
 
 def _halves(spark, d):
@@ -566,11 +567,11 @@ def _halves(spark, d):
 
 
 @query(
-    f"WITH {FINDINGS}, m AS (SELECT quantile_disc(epoch_us(found_at), 0.5) AS m FROM f), a AS (SELECT repo AS item_key, count(*) AS n FROM f, m WHERE rule_id IS NOT NULL AND epoch_us(found_at) <= m GROUP BY repo), b AS (SELECT repo AS item_key, count(*) AS n FROM f, m WHERE rule_id IS NOT NULL AND epoch_us(found_at) > m GROUP BY repo) SELECT b.item_key, CAST(NULL AS BIGINT) AS \"then\", b.n AS now, 'new' AS state FROM b WHERE b.item_key NOT IN (SELECT item_key FROM a) UNION ALL SELECT a.item_key, a.n, NULL, 'resolved' FROM a WHERE a.item_key NOT IN (SELECT item_key FROM b) UNION ALL SELECT a.item_key, a.n, b.n, 'grown' FROM a JOIN b USING (item_key) WHERE b.n - a.n >= greatest(3, floor(a.n / 10))"
+    f"WITH {FINDINGS}, m AS (SELECT quantile_disc(epoch_us(found_at), 0.5) AS m FROM f), a AS (SELECT repo AS item_key, count(*) AS n FROM f, m WHERE rule_id IS NOT NULL AND epoch_us(found_at) <= m GROUP BY repo), b AS (SELECT repo AS item_key, count(*) AS n FROM f, m WHERE rule_id IS NOT NULL AND epoch_us(found_at) > m GROUP BY repo) SELECT b.item_key, CAST(0 AS BIGINT) AS \"then\", b.n AS now, 'new' AS state FROM b WHERE b.item_key NOT IN (SELECT item_key FROM a) UNION ALL SELECT a.item_key, a.n, 0, 'resolved' FROM a WHERE a.item_key NOT IN (SELECT item_key FROM b) UNION ALL SELECT a.item_key, a.n, b.n, 'grown' FROM a JOIN b USING (item_key) WHERE b.n - a.n >= greatest(3, floor(a.n / 10))"
 )
 def diff_items(spark, d):
     a, b = (x.groupBy(F.col("repo").alias("item_key")).agg(F.count("*").alias("size")) for x in _halves(spark, d))
-    return evolution.diff_items(a, b)
+    return evolution.diff_items(a, b).fillna(0, ["then", "now"])
 
 
 @query(f"WITH {COMMITS}, q AS (SELECT repo, strftime(ts, '%Y-%m') AS ref, count(*) AS value FROM c GROUP BY ALL), l AS (SELECT *, lag(value) OVER (PARTITION BY repo ORDER BY ref) AS before FROM q) SELECT repo, ref, value, value - before AS delta FROM l WHERE before IS NOT NULL")

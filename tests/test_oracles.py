@@ -18,7 +18,9 @@ def rows(df):
             return None
         if hasattr(v, "item"):
             v = v.item()
-        return round(v, 4) if isinstance(v, float) else v
+        if isinstance(v, float):
+            return int(v) if v.is_integer() else round(v, 4)
+        return v
 
     return sorted(repr(tuple(cell(v) for v in r)) for r in df.astype(object).itertuples(index=False, name=None))
 
