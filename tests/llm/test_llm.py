@@ -149,6 +149,31 @@ def test_unmarked_copies(spark):
     assert handwritten.found(f.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [500, 3])
+def test_unmarked_copies_of_many_versions(spark, monkeypatch, part):
+    """Other vendored versions in the buckets of a copy, less alike and of lesser signatures, don't hide the one it is of."""
+    monkeypatch.setattr(handwritten, "BUCKET_PART", part, raising=False)
+    rnd = random.Random(5)
+    base = [f"name{k}" for k in range(600)]
+
+    def changed(words, n, tag):
+        out = list(words)
+        for k in range(n):
+            out[rnd.randrange(len(out))] = f"{tag}x{k}"
+        return "\n".join(out)
+
+    alike = lambda a, b: (handwritten.signature(a) == handwritten.signature(b)).mean()
+    lib, copy, others = "\n".join(base), changed(base, 10, "copy"), []
+    while len(others) < 60:
+        t = changed(base, 18, f"o{rnd.random()}")
+        if handwritten.signature(t).tolist() < handwritten.signature(lib).tolist() and alike(t, copy) < handwritten.SIMILAR:
+            others.append(t)
+    assert alike(lib, copy) >= handwritten.SIMILAR
+    rows = [(1, "go", "a/vendor/lib.go", lib), (2, "go", "a/c.go", copy), (3, "go", "a/d.go", changed(base, 100, "far")), *((10 + k, "go", f"a/vendor/o{k}.go", t) for k, t in enumerate(others))]
+    f = spark.createDataFrame(rows, "file_id long, language_id string, file_path string, content string")
+    assert sorted(r[0] for r in handwritten.found(f).collect()) == [1, 2, *range(10, 70)]
+
+
 # --- 5 -----------------------------------------------------------------------
 GOOD = {
     "go": ["package a\n\nimport (\n\t\"fmt\"\n\tx \"a/b\"\n)\n\ntype T[K comparable, V any] struct {\n\ta, b int `json:\"a\"`\n\t*U\n}\n\nfunc (t *T[K, V]) F(a int, b ...string) (n int, err error) {\n\tfor i, v := range xs {\n\t\tif v, ok := m[i]; ok && v > 1 {\n\t\t\tcontinue\n\t\t} else if x == (T{1}) {\n\t\t\tbreak\n\t\t}\n\t}\n\tswitch y := z.(type) {\n\tcase int, *T:\n\t\tdefer func() { recover() }()\n\tdefault:\n\t\tgo f(<-c)\n\t}\n\tselect {\n\tcase c <- 1:\n\tcase v := <-c:\n\t\t_ = v\n\t}\n\treturn map[string][]int{\"a\": {1, 2}}[k][1:2], nil\n}\n"],
