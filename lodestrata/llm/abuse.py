@@ -273,12 +273,12 @@ def sentence_score(s: str) -> float:
 
 
 # Words one of which every pattern above needs; texts without any are not searched further.
-ANCHORS = frozenset(w + end for w in INSULTS for end in ("", "s", "es", "n", "e")) | frozenset(SLURS) | frozenset(
+ANCHORS = frozenset(w + end for w in INSULTS for end in ("", "s", "es", "n", "e")) | frozenset(SLURS) | frozenset(DEHUMANISING) | frozenset(
     """shut lost hell crawl piss fuck screw asked klappe fresse halts verschwinde verpiss ferme gueule degage casse callate vete nadie sirves
-    vermin subhuman subhumans filthy parasites cockroaches animals scum abschaum ungeziefer untermenschen racaille escoria ratas belong belongs hate typical throw gehoren chasse basura deberia deberian
+    vermin subhuman subhumans filthy parasites cockroaches animals scum abschaum ungeziefer untermenschen racaille escoria ratas gente esos esas belong belongs hate typical throw gehoren chasse basura deberia deberian
     break live regret pay suffer cry kill hurt beat stab shoot hunt destroy rape choke find kys miss disappear waste die rot burn hang watch
     dich wohnst tuer casser frapper retrouver habites matar romper encontrar partir vives
-    naked nude nudes topless body ass tits breasts shirt clothes top pants bra dress horny sleep sex moaning suck blowjob job boobs pussy cock dick zieh nacktfotos nacktbilder nackt schlaf nue nues coucher deshabille desnuda desnudas desnudo desnudos desnudate acuestate quiero""".split()
+    naked nude nudes topless body ass tits breasts shirt clothes top pants bra dress horny sleep sex moaning suck blowjob job boobs pussy cock dick zieh nacktfotos nacktbilder nackt schlaf nu nus nue nues coucher deshabille desnuda desnudas desnudo desnudos desnudate acuestate quiero""".split()
 )
 
 

@@ -304,6 +304,48 @@ def test_abuse(scorer, text, toxic):
     assert (scorer.score(text) >= abuse.FOUND_FROM) == toxic
 
 
+def examples(tree):
+    """Texts of a parsed pattern: each alternative of each branch and each class once, repeats at their least and once more."""
+    from re import _constants as C
+
+    out = [""]
+    for op, arg in tree:
+        if op is C.LITERAL:
+            some = [chr(arg)]
+        elif op is C.ANY or op is C.NOT_LITERAL:
+            some = ["x"]
+        elif op is C.IN:
+            some = [chr(x) for kind, x in arg if kind is C.LITERAL] or ["x"]
+        elif op is C.SUBPATTERN:
+            some = examples(arg[3])
+        elif op is C.BRANCH:
+            some = [t for part in arg[1] for t in examples(part)]
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            least, most, part = arg
+            some = [t * n for t in examples(part) for n in {least, min(most, least + 1)}]
+        else:
+            assert op in (C.AT, C.ASSERT, C.ASSERT_NOT)
+            continue
+        some = list(dict.fromkeys(some))
+        out = [a + b for a in out for b in some] if len(out) * len(some) <= 3000 else [a + some[0] for a in out] + [out[0] + b for b in some]
+    return out
+
+
+@pytest.mark.parametrize("name", ["_INSULT", "_ADJECTIVE", "_DISMISS", "_HATE", "_THREAT", "_SEX"])
+def test_abuse_words_of_every_alternative(name):
+    from re import _parser as P
+
+    pattern = getattr(abuse, name)
+    made = [t for t in examples(P.parse(pattern.pattern)) if pattern.search(t)]
+    missed = {t for t in made if abuse.ANCHORS.isdisjoint(abuse._WORD.findall(t)) and "masturbat" not in t}
+    assert len(made) > 20 and not missed
+
+
+@pytest.mark.parametrize("text", ["Ces gens sont de la vermine.", "Envoie une photo nu.", "photos nus", "de la v3rm1ne, qu'on les ch4sse"])
+def test_abuse_words_without_another(scorer, text):
+    assert scorer.score(text) >= abuse.FOUND_FROM
+
+
 def test_abuse_frames(spark):
     d = spark.createDataFrame([(1, "Shut up, idiot, nobody asked you.", "chat"), (2, None, "chat"), (3, "fine text here", None)], "doc_id long, text string, source string")
     s = abuse.scored(d)
