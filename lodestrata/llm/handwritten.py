@@ -50,6 +50,9 @@ MADE = re.compile(
 COPIED = re.compile(r"taken from upstream|^imported from (?:https?|git|ssh)\S*|(?:copied|vendored|imported) (?:verbatim )?from upstream|^@license\b|^@preserve\b|released by the \S+ authors under its own terms|released under its own terms", re.I)
 BANG = re.compile(r"^\s*/\*!")
 _COMMENT = re.compile(r"^\s*(?://+!?|#+!?|/\*+!?|\*+/?|--|;+|<!--|\"\"\"|''')\s*(.*?)\s*(?:\*/|-->|\"\"\")?\s*$")
+_LINE = re.compile("[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+")
+_OPENS = re.compile(r"\s*(/\*|<!--|\"\"\"|''')")
+_ENDS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
 _ACCESSOR = re.compile(rb"return (?:this|self|&self|&?\w)\.\w+;?[ \t\r]*\n|`json:\"|\n[ \t]*&?self\.\w+(?:\.clone\(\))?[ \t\r]*\n|return self\._\w+\[")
 _RUN = re.compile(rb"[A-Za-z0-9+/=_-]{60,}|(?:\\x[0-9a-fA-F]{2}){10,}")
 _NUMBER = re.compile(rb"(?<![A-Za-z_0-9.])(?:0x)?[0-9a-fA-F]*[0-9][0-9a-fA-F.]*")
@@ -63,17 +66,35 @@ LAYOUT = {"ts": (150.0, 1, 0.2), "python": (150.0, 1, 0.2), None: (150.0, 1, 0.2
 NUMBERS_FROM, ENCODED_FROM, SHAPES_BELOW, ACCESSORS_FROM = 0.5, 0.8, 0.34, 0.2
 
 
+def _comments(text: str) -> Iterator[tuple[str, str]]:
+    """Lines of the comments before the first code: as they stand, and what they say without marks."""
+    end = None  # the mark that ends the open block
+    for m in _LINE.finditer(text):
+        rest = m[0]
+        while rest.strip():
+            opens = _OPENS.match(rest) if end is None else None
+            if end is None and not opens:
+                said = _COMMENT.match(rest)
+                if not said:
+                    return
+                yield rest, said[1]
+                break
+            if opens:
+                end = _ENDS[opens[1]]
+            close = rest.find(end, opens.end() if opens else 0)
+            piece, rest = (rest, "") if close < 0 else (rest[:close], rest[close + len(end) :])
+            said = _COMMENT.match(piece)
+            yield piece, said[1] if said else piece.strip()
+            if close >= 0:
+                end = None
+
+
 def banner(text: str) -> str | None:
     """'generated' or 'vendored' if the comments before the code say so of this file."""
-    for line in text[:4000].splitlines()[:12]:
+    for line, said in _comments(text):
         if BANG.match(line):
             return "vendored"
-        m = _COMMENT.match(line)
-        if not m:
-            if line.strip():
-                break
-            continue
-        said = m[1].translate(_ACCENTS)
+        said = said.translate(_ACCENTS)
         if MADE.search(said):
             return "generated"
         if COPIED.search(said):

@@ -140,6 +140,21 @@ def test_handwritten(language, path, text, want):
     assert handwritten.kind(language, path, text) == want
 
 
+_LICENCE = "".join(f"// Line {k} of the licence.\n" for k in range(300))
+
+
+@pytest.mark.parametrize(
+    "language, text, want",
+    [
+        ("go", _LICENCE + "\n//go:build linux\n\n// Code generated by tool. DO NOT EDIT.\npackage a\n", "generated"), ("java", "/*\nLicence text without marks.\n\n" + "More of it.\n" * 20 + "Code generated by tool. DO NOT EDIT.\n*/\nclass A {}\n", "generated"),
+        ("go", "/* Licence.\nMore. */\n/* and */ // This copy of x was taken from upstream at 1.2.3.\npackage a\n", "vendored"), ("python", '"""Tables.\n\nGenerated by tool.\n"""\nA = 1\n', "generated"), ("go", _LICENCE + "package a\n\n// Code generated by tool. DO NOT EDIT.\n", None), ("java", "/* Licence.\n*/ class A {}\n// Code generated by tool. DO NOT EDIT.\n", None),
+        ("rust", "/* never closed\n" + "text\n" * 50, None),
+    ],
+)
+def test_banner_in_all_leading_comments(language, text, want):
+    assert handwritten.kind(language, "a/b.x", text) == want
+
+
 def test_unmarked_copies(spark):
     words = [f"name{k}" for k in range(400)]
     lib = "// This copy of x was taken from upstream at 1.2.3.\n" + "\n".join(words)
