@@ -13,6 +13,10 @@ from re import _constants as C
 from re import _parser as P
 
 
+#: Places at which runs are remembered.
+STRIDE = 256
+
+
 class Automaton:
     def __init__(self, patterns: list[str]):
         self.step: list[list[tuple[frozenset[int] | None, bool, int]]] = []  # state -> (characters, negated, next)
@@ -125,17 +129,37 @@ class Automaton:
         n = self.moves[state][ch] = self._number(self._closure(to))
         return n
 
-    def longest(self, text: str, at: int) -> dict[int, int]:
-        """For each pattern that matches at this place, where its longest match ends."""
+    def longest(self, text: str, at: int, memo: dict[tuple[int, int], dict[int, int]] | None = None) -> dict[int, int]:
+        """For each pattern that matches at this place, where its longest match ends.
+
+        Runs of a text that share ``memo`` don't repeat what another has run from the
+        same state at the same place, so long matches cost no more than their text.
+        """
         state, found, moves = self.begin, {}, self.moves
-        for p in range(at, len(text)):
-            ch = text[p]
-            to = moves[state].get(ch)
-            state = self._next(state, ch) if to is None else to
+        passed: list[tuple[tuple[int, int], dict[int, int]]] = []
+        p, size = at, len(text)
+        while p < size:
+            if memo is not None and p > at:
+                known = memo.get((state, p))
+                if known is not None:
+                    found |= known
+                    break
+                passed.append(((state, p), found))
+                found = {}
+            for p in range(p, min(size, (p | STRIDE - 1) + 1)):  # noqa: B020
+                ch = text[p]
+                to = moves[state].get(ch)
+                state = self._next(state, ch) if to is None else to
+                if state < 0:
+                    break
+                for k in self.ends[state]:
+                    found[k] = p + 1
             if state < 0:
                 break
-            for k in self.ends[state]:
-                found[k] = p + 1
+            p += 1
+        for key, before in reversed(passed):
+            memo[key] = found
+            found = before | found
         return found
 
     def starts(self) -> re.Pattern:

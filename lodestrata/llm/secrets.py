@@ -2,8 +2,8 @@
 
 Method: token formats, key armor, connection strings, assignments, calls and
 command lines are the patterns of one deterministic automaton (automaton.py).
-Texts are scanned in overlapping chunks; the spans found are made absolute and
-deduplicated, and each is judged by its grammar: whether its name asks for a
+Matches are begun in overlapping chunks and run on to their ends, however long a
+value is; the spans found are absolute and deduplicated, and each is judged by its grammar: whether its name asks for a
 credential and its value could be one, or is a placeholder, a reference, a
 label, a digest or an id. Placeholders are spliced in for the values, from the
 last span to the first, so the rest of the line keeps its text.
@@ -37,8 +37,8 @@ NO_VALUES = frozenset(
 )
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]{0,80}"
-_QUOTED = r"""(?:"[^"\n]{0,600}"?|'[^'\n]{0,600}'?|`[^`\n]{0,600}`?)"""
-_BARE = r"""[^\s"'`;,(){}\[\]<>]{4,400}"""
+_QUOTED = r"""(?:"[^"\n]*"?|'[^'\n]*'?|`[^`\n]*`?)"""
+_BARE = r"""[^\s"'`;,(){}\[\]<>]{4,}"""
 #: name of the grammar -> pattern of the automaton
 GRAMMARS = {
     "access_id": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
@@ -46,18 +46,18 @@ GRAMMARS = {
     "prefixed": r"[a-z]{2,10}[0-9]?(?:_[a-z]{2,6})?[_.-][A-Za-z0-9]{20,}",
     "armor": r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY[A-Z ]{0,10}-----(?:[A-Za-z0-9+/=\s\\]|\\[nr])*",
     "key_line": r"[A-Za-z0-9+/]{64}",
-    "url": r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:@/"'<>]{0,80}:[^\s@/"']{1,200}@""",
+    "url": r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:@/"'<>]{0,80}:[^\s@/"']+@""",
     "header": r"(?:Bearer|bearer|BEARER|Basic|basic|Token|token|ApiKey|apikey) [A-Za-z0-9+/=_.~-]{12,}",
-    "assigned": rf"""["']?{_NAME}["']?\]?(?:: ?[A-Za-z&'<>\[\]]{{1,24}})? ?(?:=|:=|:|=>|->|,) ?{_QUOTED}(?: ?\+ ?{_QUOTED}){{0,6}}""",
-    "concat": rf"""{_NAME}(?:: ?[A-Za-z&'<>\[\]]{{1,24}})? ?(?:=|:=|:) ?[a-zA-Z.]{{0,20}}!?\({_QUOTED}(?:, ?{_QUOTED}){{1,6}}""",
+    "assigned": rf"""["']?{_NAME}["']?\]?(?:: ?[A-Za-z&'<>\[\]]{{1,24}})? ?(?:=|:=|:|=>|->|,) ?{_QUOTED}(?: ?\+ ?{_QUOTED})*""",
+    "concat": rf"""{_NAME}(?:: ?[A-Za-z&'<>\[\]]{{1,24}})? ?(?:=|:=|:) ?[a-zA-Z.]{{0,20}}!?\({_QUOTED}(?:, ?{_QUOTED})+""",
     "bare": rf"""["']?{_NAME}["']? ?(?:=|:=|:|=>) ?{_BARE}""",
     "fallback": rf"""(?:env|environ|getenv|getOrDefault|env_or|var|get)[.(\[]{{1,2}}["']?[A-Za-z_][A-Za-z0-9_]{{0,60}}["']?[\])]{{0,3}} ?(?:,|\|\||or|\?\?|\.unwrap_or\(|\.orElse\() ?{_QUOTED}""",
-    "default": r"\$\{[A-Za-z_][A-Za-z0-9_]{0,60}:-[^\s}]{1,200}\}",
+    "default": r"\$\{[A-Za-z_][A-Za-z0-9_]{0,60}:-[^\s}]+\}",
     "call": rf"""(?:login|log_in|logIn|sign_in|signIn|signin|authenticate|auth|connect|setPassword|set_password|withSecret|with_secret|withPassword|with_password|setCredentials|set_credentials|withCredentials|with_credentials|basicAuth|basic_auth|setAuth)(?:)\( ?{_QUOTED} ?, ?{_QUOTED}""",
-    "user": r"""-{1,2}u(?:ser)?[ =][A-Za-z0-9_.-]{1,60}:[^\s"']{1,200}""",
-    "option": r"""(?:sshpass -p ?|-{1,2}(?:password|passwd|pass|pwd|token|secret|api-key|apikey)[ =])[^\s"']{1,200}""",
-    "element": rf"""<{_NAME}>[^<>\n]{{1,300}}</""",
-    "told": r"""(?:[Pp]w|[Pp]ass|[Pp]wd|[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Kk]ey|[Ll]ogin|[Cc]redentials?|[Kk]ennwort|[Cc]lave)(?: [A-Za-z0-9_./:>=-]{1,20}){0,4}[ :=>-]{1,4}[^\s"']{6,400}""",
+    "user": r"""-{1,2}u(?:ser)?[ =][A-Za-z0-9_.-]{1,60}:[^\s"']+""",
+    "option": r"""(?:sshpass -p ?|-{1,2}(?:password|passwd|pass|pwd|token|secret|api-key|apikey)[ =])[^\s"']+""",
+    "element": rf"""<{_NAME}>[^<>\n]+</""",
+    "told": r"""(?:[Pp]w|[Pp]ass|[Pp]wd|[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Kk]ey|[Ll]ogin|[Cc]redentials?|[Kk]ennwort|[Cc]lave)(?: [A-Za-z0-9_./:>=-]{1,20}){0,4}[ :=>-]{1,4}[^\s"']{6,}""",
 }
 IDS = list(GRAMMARS)
 
@@ -91,7 +91,7 @@ def asks(name: str) -> bool:
 
 
 _REFERENCE = re.compile(
-    r"^[<\[{(%$].*|.*\$\{|.*\$\(|.*\{\{|^\$[A-Za-z_]|^%[A-Za-z_]+%$|^(?:vault|ssm|secretsmanager|keyring|file|env|arn|kms|op|sops|gsm|awssm|k8s)[:/]|^(?:\.{0,2}/|~/)[a-z0-9_.-]+(?:/[a-z0-9_.-]+)*/?$|^[a-z]+(?:/[a-z_.-]+)+$|^(?:os|process|System|std|env|config|settings|self|this|secrets|ENC)[._:\[(]|^ENC_|://[^@]*$|^data:|^ssh-(?:rsa|ed25519|dss)|BEGIN (?:[A-Z]+ )*PUBLIC|BEGIN CERTIFICATE"
+    r"^[<\[{(%$].*|\$\{|\$\(|\{\{|^\$[A-Za-z_]|^%[A-Za-z_]+%$|^(?:vault|ssm|secretsmanager|keyring|file|env|arn|kms|op|sops|gsm|awssm|k8s)[:/]|^(?:\.{0,2}/|~/)[a-z0-9_.-]+(?:/[a-z0-9_.-]+)*/?$|^[a-z]+(?:/[a-z_.-]+)+$|^(?:os|process|System|std|env|config|settings|self|this|secrets|ENC)[._:\[(]|^ENC_|://[^@]*$|^data:|^ssh-(?:rsa|ed25519|dss)|BEGIN (?:[A-Z]+ )*PUBLIC|BEGIN CERTIFICATE"
 )
 _MASKED = re.compile(r"^(?:[x*•.#_-]+|[X*]+|(?:your|my|the|an?|some|insert|enter|example|dummy|fake|not|replace|change|sample|test|placeholder|redacted|todo)[-_ ].*|(?:.*(?:-here|_here|-me)$)|.*(?:redacted|placeholder|example|your[_-]).*)$", re.I)
 _ODD_CASE = re.compile(r"[A-Z]{2,}[a-z]|[a-z][A-Z]{2,}|[a-z][A-Z][a-z][A-Z]|[A-Z][a-z][A-Z]|[a-z][A-Z]$")
@@ -102,7 +102,8 @@ _TOKEN = re.compile("|".join(f"(?:{GRAMMARS[k]})" for k in ("access_id", "web_to
 
 def _random(w: str) -> bool:
     """Whether the letters of a mixed-case word follow no language."""
-    if len(w) < 8 or not re.search(r"[a-z].*[A-Z]", w):
+    lower = re.search(r"[a-z]", w)
+    if len(w) < 8 or not lower or not re.search(r"[A-Z]", w[lower.end() :]):
         return False
     vowels = len(re.findall(r"[aeiouy]", w, re.I)) / len(w)
     return vowels < 0.25 or bool(re.search(r"[^aeiouy\d]{4}", w, re.I))
@@ -113,7 +114,7 @@ def plain(v: str) -> bool:
     if re.fullmatch(r"-?\d+(?:\.\d+)*", v):
         return True
     if re.fullmatch(r"[A-Za-z]+(?:[_.-][A-Za-z]+)*\d{0,2}", v):
-        return not any(_random(w) or _ODD_CASE.search(w) and not re.fullmatch(r"(?:[A-Z]?[a-z]{2,})+", w) for w in re.split(r"[_.-]", v)) or len(v) < 8
+        return not any(_random(w) or _ODD_CASE.search(w) and not re.fullmatch(r"(?:[a-z]{2,})?(?:[A-Z][a-z]{2,})*", w) for w in re.split(r"[_.-]", v)) or len(v) < 8
     return False
 
 
@@ -152,6 +153,7 @@ def _strings(text: str, at: int) -> list[tuple[int, int, str]]:
 
 
 _ASSIGNED = re.compile(rf"""["']?({_NAME})["']?\]?(?:: ?[A-Za-z&'<>\[\]]{{1,24}})? ?(?:=|:=|:|=>|->|,) ?(?=["'`])""")
+_BARE_HEAD = re.compile(rf"""["']?({_NAME})["']? ?[=:]""")
 _BARE_PARTS = re.compile(rf"""["']?({_NAME})["']? ?(:=|=>|=|:) ?({_BARE})$""")
 
 
@@ -236,19 +238,24 @@ def spans(text: str | None) -> list[tuple[int, int]]:
         return []
     a, starts = automaton()
     found: set[tuple[int, int]] = set()
+    memo: dict[tuple[int, int], dict[int, int]] = {}
+    covered = (0, 0)  # the longest span yet
     for base in range(0, max(1, len(text) - OVERLAP), CHUNK - OVERLAP):
-        chunk = text[base : base + CHUNK]
-        for s in starts.finditer(chunk):
+        for s in starts.finditer(text, base, base + CHUNK):
             p = s.start()
-            for k, end in a.longest(chunk, p).items():
+            for k, end in a.longest(text, p, memo).items():
                 kind = IDS[k]
                 if kind == "told":
-                    line = chunk[chunk.rfind("\n", 0, p) + 1 : p]
+                    line = text[max(base, text.rfind("\n", base, p) + 1) : p]
                     if not _PROSE.match(line) and not re.search(r"(?:#|(?<!:)//)[^\"']*$", line):
                         continue
-                if kind == "key_line" and not (_ALONE_BEFORE.search(chunk[max(0, p - 80) : p]) and _ALONE_AFTER.match(chunk[end : end + 80])):
+                if kind == "key_line" and not (_ALONE_BEFORE.search(text[max(0, p - 80) : p]) and _ALONE_AFTER.match(text[end : end + 80])):
                     continue
-                found.update(judge(kind, chunk[p:end], base + p))
+                if covered[0] <= p and end <= covered[1] or kind == "bare" and not ((head := _BARE_HEAD.match(text, p)) and asks(head[1])):
+                    continue  # within a span that is found, or no credential by its name
+                for span in judge(kind, text[p:end], p):
+                    found.add(span)
+                    covered = max(covered, span, key=lambda x: x[1] - x[0])
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(found):
         if out and lo < out[-1][1]:

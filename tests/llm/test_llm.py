@@ -120,6 +120,22 @@ def test_secrets_chunks_and_frame(spark):
     assert [r[0] for r in secrets.found(f).collect()] == [1] and secrets.found(f.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before, after", [("PRIVATE_KEY=", "\n"), ('password = "', '"\n'), ("db://user:", "@host/x\n"), ("--password ", "\n"), ("curl -u me:", "\n"), ("<password>", "</password>\n"), ("# the token: ", "\n")])
+@pytest.mark.parametrize("n, lines", [(1700, 0), (1700, 10912), (20000, 9500)])
+def test_secrets_of_any_length(before, after, n, lines):
+    rnd = random.Random(n)
+    head, value = "a = 1\n" * lines + before, "".join(rnd.choice("abcdefghABCDEFGH0123456789") for _ in range(n))
+    assert secrets.masked(head + value + after + "b = 2\n") == head + "[REDACTED]" + after + "b = 2\n"
+
+
+def test_secrets_of_many_parts_and_long_armor():
+    parts = " + ".join(f'"Kq3{k}xWz"' for k in range(20))
+    assert secrets.masked(f"password = {parts}") == "password = " + " + ".join(['"[REDACTED]"'] * 20)
+    assert secrets.masked("${DB_PASSWORD:-" + "Kq3xWz81" * 200 + "}") == "${DB_PASSWORD:[REDACTED]}"
+    armor = "-----BEGIN PRIVATE KEY-----\n" + "QUJDx9aB" * 12000
+    assert secrets.masked("a = 1\n" * 9000 + armor) == "a = 1\n" * 9000 + "-----BEGIN PRIVATE KEY-----[REDACTED]"
+
+
 def test_automaton_is_deterministic():
     from lodestrata.llm.automaton import Automaton
 
