@@ -391,12 +391,9 @@ def shape_issues(spark, d):
     f"WITH {FILES}, p AS (SELECT DISTINCT rel_path AS path FROM commit_files), u AS (SELECT regexp_extract(rel_path, '([^/]*)$', 1) AS base, list_distinct(list(file_id)) AS ids, any_value(rel_path) AS r FROM files GROUP BY base) SELECT path, ids[1] AS file_id FROM p JOIN u ON u.base = regexp_extract(path, '([^/]*)$', 1) WHERE len(ids) = 1"
 )
 def suffix_attach(spark, d):
-    """Coverage-style paths to files by their longest common ending; file names are unique here, so the base name decides."""
+    """Coverage-style paths to files by their longest common ending; ties give none. The SQL twin settles base names of one file only."""
     art = table(spark, d, "commit_files", "rel_path").withColumnRenamed("rel_path", "path")
-    f = files(spark, d).select("file_id", "rel_path")
-    base = F.regexp_extract("rel_path", r"([^/]*)$", 1)
-    unique = f.groupBy(base.alias("b")).agg(F.count("*").alias("n"), F.min("file_id").alias("file_id")).filter("n = 1").select("file_id")
-    return risk.attach_by_suffix(art, f.join(unique, "file_id", "left_semi"))
+    return risk.attach_by_suffix(art, files(spark, d).select("file_id", "rel_path"))
 
 
 # --- names -------------------------------------------------------------------

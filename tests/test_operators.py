@@ -329,3 +329,13 @@ def test_culture(spark):
     assert r["security"] == 100 and r["quality"] == int(0.17 * 55 + 0.13 * 80 + 20 + 50 + 0.5) and r["performance"] == int(0.85 * 80 + 15 + 0.5) and r["level"] == "leading"
     p = spark.createDataFrame([("r", 80.5, 100), ("r", 50.0, 300)], "repo string, overall double, loc int")
     assert culture.repo_level(p, "repo").first()["overall"] == 57
+
+
+def test_suffix_attach_of_repeated_names(spark, monkeypatch):
+    from lodestrata.plans import queries
+
+    f = spark.createDataFrame([(1, "core/api/mod.rs"), (2, "core/db/mod.rs"), (3, "a/only.rs"), (4, "x/t/main.go"), (5, "y/t/main.go")], "file_id long, rel_path string")
+    paths = spark.createDataFrame([("build/core/api/mod.rs",), ("db/mod.rs",), ("b/only.rs",), ("t/main.go",), ("none.rs",)], "rel_path string")
+    monkeypatch.setattr(queries, "files", lambda *_: f)
+    monkeypatch.setattr(queries, "table", lambda *_: paths)
+    assert sorted(tuple(r) for r in queries.suffix_attach(spark, "").collect()) == [("b/only.rs", 3), ("build/core/api/mod.rs", 1), ("db/mod.rs", 2)]
