@@ -517,12 +517,24 @@ _OPS = r"ops AS (SELECT DISTINCT doc_id % 2 AS side, regexp_extract(text, '(?m)^
     f"WITH {_OPS}, s AS (SELECT verb, key FROM ops WHERE side = 0), c AS (SELECT verb, key FROM ops WHERE side = 1) SELECT verb, key, 'covered' AS state FROM s WHERE EXISTS (SELECT 1 FROM c WHERE c.verb = s.verb AND c.key = s.key) UNION ALL SELECT verb, key, 'missing' FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.verb = s.verb AND c.key = s.key) UNION ALL SELECT verb, key, 'extra' FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE c.verb = s.verb AND c.key = s.key)"
 )
 def route_coverage(spark, d):
-    """Operations of API descriptions: those of one half of the documents as the specification, the other as the code."""
-    p = r"(?m)^(GET|PUT|POST|PATCH|DELETE) (/\S+)"
-    t = table(spark, d, "documents", "doc_id", "text").filter(F.col("text").rlike(p)).select((F.col("doc_id") % 2).alias("side"), F.regexp_extract("text", p, 1).alias("verb"), route_key(F.regexp_extract("text", p, 2)).alias("key"))
+    """Operations of API descriptions: those of one half of the documents as the specification, the other as the code. The SQL twin takes the first of each document."""
+    t = _operations(spark, d)
     return traffic.spec_coverage(t.filter("side = 0"), t.filter("side = 1"))
 
 
+def _operations(spark, d):
+    """(side, verb, key): all operations that the documents list."""
+    p = r"(?m)^(GET|PUT|POST|PATCH|DELETE) (/\S+)"
+    t = table(spark, d, "documents", "doc_id", "text").filter(F.col("text").rlike(p)).select((F.col("doc_id") % 2).alias("side"), F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("op"))
+    return t.select("side", F.regexp_extract("op", p, 1).alias("verb"), route_key(F.regexp_extract("op", p, 2)).alias("key"))
+
+
+@query()
+def served_coverage(spark, d):
+    """All operations of API descriptions against the routes that source files serve."""
+    return traffic.spec_coverage(_operations(spark, d), traffic.inbound(code(spark, d)))
+
+
 # --- infrastructure ----------------------------------------------------------
 _CHECKS = [(m, s, p, g) for m, s, p, g in devops.CONTAINER if _re2(p)]
 

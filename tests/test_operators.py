@@ -339,3 +339,15 @@ def test_suffix_attach_of_repeated_names(spark, monkeypatch):
     monkeypatch.setattr(queries, "files", lambda *_: f)
     monkeypatch.setattr(queries, "table", lambda *_: paths)
     assert sorted(tuple(r) for r in queries.suffix_attach(spark, "").collect()) == [("b/only.rs", 3), ("build/core/api/mod.rs", 1), ("db/mod.rs", 2)]
+
+
+def test_route_coverage_of_all_operations(spark, monkeypatch):
+    from lodestrata.plans import queries
+
+    docs = spark.createDataFrame([(2, "Ids\nGET /a\nPOST /b/{id}\nGET /c\n"), (1, "POST /b/{x}\nGET /d\n"), (3, None)], "doc_id long, text string")
+    lines = spark.createDataFrame([(1, 1, "ts", "app.get('/a', f)", False), (1, 2, "ts", "app.delete('/e', f)", False)], "file_id long, line_no int, language_id string, raw string, comment boolean")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    monkeypatch.setattr(queries, "code", lambda *_: lines)
+    rows = lambda q: sorted(tuple(r) for r in q(spark, "").collect())
+    assert rows(queries.route_coverage) == [("GET", "/a", "missing"), ("GET", "/c", "missing"), ("GET", "/d", "extra"), ("POST", "/b/{}", "covered")]
+    assert rows(queries.served_coverage) == [("DELETE", "/e", "extra"), ("GET", "/a", "covered"), ("GET", "/c", "missing"), ("GET", "/d", "missing"), ("POST", "/b/{}", "missing")]
