@@ -1,10 +1,9 @@
 """Problem 4: generated, minified, vendored and data-only source files.
 
-Method: thresholds on layout statistics of each file (mean and greatest line
-length, white-space and alphanumeric share, share of number literals, long
-encoded runs, variety of line shapes, share of accessor lines), tuned per
-language where languages differ, with the marks that tools and third parties
-leave: banners that say the file itself was made or copied, and the folders that
+Method: thresholds on layout statistics of each file (mean line length,
+white-space share, share of number literals, long encoded runs, variety of line
+shapes, share of accessor lines), the same for all languages, with the marks
+that tools and third parties leave: banners that say the file itself was made or copied, and the folders that
 package managers and people keep third-party code in. Words about generated or
 vendored things elsewhere ("reads files that ... has generated") are no banner.
 
