@@ -11,9 +11,11 @@ window has both in one third. Longer passages always hold a window with one at
 most. So the masks lose nothing, and hits are then verified along their
 diagonal: the longest aligned stretch with mismatches <= length / 10.
 
-Two ways, chosen by the measured size of the evaluation side: item seeds
-travel to the workers when they are at most ``max_local_seeds``; beyond it the
-seeds of both sides are joined by a shuffle, and only hits return to the texts.
+The evaluation side is the stated query set and travels to the workers in blocks
+of about ``max_local_seeds`` seeds, so what is broadcast doesn't grow with it:
+each block scans all documents in a narrow stage, and only found pairs are kept.
+No seed is shuffled, so boilerplate that a third of the documents holds makes no
+hot key, and one block or many give the same rows.
 
 Defined results: null and blank texts or items leak nothing; items shorter than
 MIN_WORDS words must occur whole; repeated ids give one row.
@@ -29,13 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.sources.tables import cut
+
 MIN_WORDS = 12
 SPAN = 12
 #: Each mask keeps eight of twelve positions.
 MASKS = tuple(tuple(k for k in range(SPAN) if k // 4 != third) for third in range(3))
+#: Seeds of one block of the evaluation side.
 MAX_LOCAL_SEEDS = 2_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9-]{0,20}(?:\s[^<>]{0,200})?/?>|<!--|-->")
@@ -121,7 +127,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None]], min_words: int):
         self.ids, self.numbers, hashes, owner, at = [], [], [], [], []
-        self.short: dict[int, list[int]] = {}
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # number of words -> whole item -> its places
         for item_id, text in rows:
             n = _number(words(text))
             if not len(n):
@@ -130,7 +136,7 @@ class Items:
             self.ids.append(item_id)
             self.numbers.append(n)
             if len(n) < SPAN:
-                self.short.setdefault(int(n[0]), []).append(k)
+                self.short.setdefault(len(n), {}).setdefault(n.tobytes(), []).append(k)
             for h in seeds(n):
                 hashes.append(h)
                 owner.append(np.full(len(h), k))
@@ -160,12 +166,10 @@ class Items:
                         tried.add((o, d))
                         if verified(doc, self.numbers[o], d, min(self.min_words, len(self.numbers[o]))):
                             found.add(o)
-        if self.short and len(doc):
-            for p, w in enumerate(doc.tolist()):
-                for o in self.short.get(w, ()):
-                    n = self.numbers[o]
-                    if np.array_equal(doc[p : p + len(n)], n):
-                        found.add(o)
+        raw = doc.tobytes() if self.short else b""
+        for n, whole in self.short.items():
+            for p in range(0, len(raw) - 8 * n + 1, 8):
+                found.update(whole.get(raw[p : p + 8 * n], ()))
         return [self.ids[o] for o in sorted(found)]
 
 
@@ -175,52 +179,32 @@ def leaked(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_lo
     docs has doc_id and text, items item_id and text; other columns are not read.
     """
     pairs = items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    size = pairs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     docs = docs.select("doc_id", "text").filter("text IS NOT NULL")
-    if 3 * size // 4 <= max_local_seeds:
-        rows = [(r["item_id"], r["text"]) for r in pairs.collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = Items(shared.value, min_words)
-            for batch in batches:
-                docs_out, items_out = [], []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for i in table.leaks(text.as_py()):
-                        docs_out.append(doc_id)
-                        items_out.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array(docs_out, pa.int64()), pa.array(items_out, pa.int64())], names=["doc_id", "item_id"])
-
-        found = docs.mapInArrow(scan, "doc_id long, item_id long")
-    else:
-        found = _joined(docs, pairs, min_words)
+    size = pairs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-3 * size // (4 * max_local_seeds)))  # three seeds a word, four characters a word at least
+    if blocks == 1:
+        return _scanned(docs, pairs, min_words)[0].distinct()
+    found = None
+    for k in range(blocks):
+        rows, shared = _scanned(docs, pairs.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), min_words)
+        rows = cut(rows.distinct())
+        shared.unpersist()
+        found = rows if found is None else found.unionByName(rows)
     return found.distinct()
 
 
-def _seed_rows(df: DataFrame, key: str) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key_value, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n = _number(words(text.as_py()))
-                hs = seeds(n) if len(n) >= SPAN else [np.array([xxhash.xxh64_intdigest(n.tobytes())], np.uint64)] if len(n) and key == "item_id" else []
-                for h in hs:
-                    if len(h):
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key_value))], names=["seed", key])
-
-    return df.mapInArrow(rows, f"seed long, {key} long").distinct()
-
+def _scanned(docs: DataFrame, block: DataFrame, min_words: int) -> tuple[DataFrame, Broadcast]:
+    """The leaks of one block of items in all documents, and what was broadcast for it."""
+    shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.collect()])
 
-def _joined(docs: DataFrame, items: DataFrame, min_words: int) -> DataFrame:
-    """The same leaks for evaluation sides of any size: a shuffled join of seeds, then verification of hit pairs."""
-    pairs = _seed_rows(docs, "doc_id").join(_seed_rows(items, "item_id"), "seed").select("doc_id", "item_id").distinct()
-    both = pairs.join(docs.withColumnRenamed("text", "doc_text"), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Items(shared.value, min_words)
         for batch in batches:
-            keep = []
-            for k, (i, d) in enumerate(zip(batch.column("item_text").to_pylist(), batch.column("doc_text").to_pylist(), strict=True)):
-                if Items([(0, i)], min_words).leaks(d):
-                    keep.append(k)
-            yield batch.select(["doc_id", "item_id"]).take(pa.array(keep, pa.int64()))
-
-    return both.select("doc_id", "item_id", "doc_text", "item_text").mapInArrow(check, "doc_id long, item_id long")
+            docs_out, items_out = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for i in table.leaks(text.as_py()):
+                    docs_out.append(doc_id)
+                    items_out.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(docs_out, pa.int64()), pa.array(items_out, pa.int64())], names=["doc_id", "item_id"])
+
+    return docs.mapInArrow(scan, "doc_id long, item_id long"), shared
