@@ -36,7 +36,7 @@ NO_VALUES = frozenset(
     "todo fixme none null nil undefined true false changeme change_me change-me replaceme replace-me dummy example sample test testing placeholder redacted masked secret password passwd token string str bytes int char bool boolean number any object unknown optional self this bearer basic authorization hidden removed empty xxx yyy your-key-here insert default".split()
 )
 
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]{0,80}"
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*"
 _QUOTED = r"""(?:"[^"\n]*"?|'[^'\n]*'?|`[^`\n]*`?)"""
 _BARE = r"""[^\s"'`;,(){}\[\]<>]{4,}"""
 #: name of the grammar -> pattern of the automaton
@@ -44,17 +44,17 @@ GRAMMARS = {
     "access_id": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
     "web_token": r"eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}",
     "prefixed": r"[a-z]{2,10}[0-9]?(?:_[a-z]{2,6})?[_.-][A-Za-z0-9]{20,}",
-    "armor": r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY[A-Z ]{0,10}-----(?:[A-Za-z0-9+/=\s\\]|\\[nr])*",
+    "armor": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(?:[A-Za-z0-9+/=\s\\]|\\[nr])*",
     "key_line": r"[A-Za-z0-9+/]{64}",
-    "url": r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:@/"'<>]{0,80}:[^\s@/"']+@""",
+    "url": r"""[A-Za-z][A-Za-z0-9+.-]+://[^\s:@/"'<>]*:[^\s@/"']+@""",
     "header": r"(?:Bearer|bearer|BEARER|Basic|basic|Token|token|ApiKey|apikey) [A-Za-z0-9+/=_.~-]{12,}",
-    "assigned": rf"""["']?{_NAME}["']?\]?(?:: ?[A-Za-z&'<>\[\]]{{1,24}})? ?(?:=|:=|:|=>|->|,) ?{_QUOTED}(?: ?\+ ?{_QUOTED})*""",
-    "concat": rf"""{_NAME}(?:: ?[A-Za-z&'<>\[\]]{{1,24}})? ?(?:=|:=|:) ?[a-zA-Z.]{{0,20}}!?\({_QUOTED}(?:, ?{_QUOTED})+""",
+    "assigned": rf"""["']?{_NAME}["']?\]?(?:: ?[A-Za-z&'<>\[\]]+)? ?(?:=|:=|:|=>|->|,) ?{_QUOTED}(?: ?\+ ?{_QUOTED})*""",
+    "concat": rf"""{_NAME}(?:: ?[A-Za-z&'<>\[\]]+)? ?(?:=|:=|:) ?[a-zA-Z.]*!?\({_QUOTED}(?:, ?{_QUOTED})+""",
     "bare": rf"""["']?{_NAME}["']? ?(?:=|:=|:|=>) ?{_BARE}""",
-    "fallback": rf"""(?:env|environ|getenv|getOrDefault|env_or|var|get)[.(\[]{{1,2}}["']?[A-Za-z_][A-Za-z0-9_]{{0,60}}["']?[\])]{{0,3}} ?(?:,|\|\||or|\?\?|\.unwrap_or\(|\.orElse\() ?{_QUOTED}""",
-    "default": r"\$\{[A-Za-z_][A-Za-z0-9_]{0,60}:-[^\s}]+\}",
+    "fallback": rf"""(?:env|environ|getenv|getOrDefault|env_or|var|get)[.(\[]{{1,2}}["']?[A-Za-z_][A-Za-z0-9_]*["']?[\])]{{0,3}} ?(?:,|\|\||or|\?\?|\.unwrap_or\(|\.orElse\() ?{_QUOTED}""",
+    "default": r"\$\{[A-Za-z_][A-Za-z0-9_]*:-[^\s}]+\}",
     "call": rf"""(?:login|log_in|logIn|sign_in|signIn|signin|authenticate|auth|connect|setPassword|set_password|withSecret|with_secret|withPassword|with_password|setCredentials|set_credentials|withCredentials|with_credentials|basicAuth|basic_auth|setAuth)(?:)\( ?{_QUOTED} ?, ?{_QUOTED}""",
-    "user": r"""-{1,2}u(?:ser)?[ =][A-Za-z0-9_.-]{1,60}:[^\s"']+""",
+    "user": r"""-{1,2}u(?:ser)?[ =][A-Za-z0-9_.-]+:[^\s"']+""",
     "option": r"""(?:sshpass -p ?|-{1,2}(?:password|passwd|pass|pwd|token|secret|api-key|apikey)[ =])[^\s"']+""",
     "element": rf"""<{_NAME}>[^<>\n]+</""",
     "told": r"""(?:[Pp]w|[Pp]ass|[Pp]wd|[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Kk]ey|[Ll]ogin|[Cc]redentials?|[Kk]ennwort|[Cc]lave)(?: [A-Za-z0-9_./:>=-]{1,20}){0,4}[ :=>-]{1,4}[^\s"']{6,}""",
@@ -152,7 +152,7 @@ def _strings(text: str, at: int) -> list[tuple[int, int, str]]:
     return out
 
 
-_ASSIGNED = re.compile(rf"""["']?({_NAME})["']?\]?(?:: ?[A-Za-z&'<>\[\]]{{1,24}})? ?(?:=|:=|:|=>|->|,) ?(?=["'`])""")
+_ASSIGNED = re.compile(rf"""["']?({_NAME})["']?\]?(?:: ?[A-Za-z&'<>\[\]]+)? ?(?:=|:=|:|=>|->|,) ?(?=["'`])""")
 _BARE_HEAD = re.compile(rf"""["']?({_NAME})["']? ?[=:]""")
 _BARE_PARTS = re.compile(rf"""["']?({_NAME})["']? ?(:=|=>|=|:) ?({_BARE})$""")
 
@@ -240,6 +240,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     memo: dict[tuple[int, int], dict[int, int]] = {}
     covered = (0, 0)  # the longest span yet
+    run = 0  # end of the name that asks for no credential; nor do its endings
     for base in range(0, max(1, len(text) - OVERLAP), CHUNK - OVERLAP):
         for s in starts.finditer(text, base, base + CHUNK):
             p = s.start()
@@ -251,8 +252,11 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                         continue
                 if kind == "key_line" and not (_ALONE_BEFORE.search(text[max(0, p - 80) : p]) and _ALONE_AFTER.match(text[end : end + 80])):
                     continue
-                if covered[0] <= p and end <= covered[1] or kind == "bare" and not ((head := _BARE_HEAD.match(text, p)) and asks(head[1])):
-                    continue  # within a span that is found, or no credential by its name
+                if covered[0] <= p and end <= covered[1]:
+                    continue  # within a span that is found
+                if kind == "bare" and (p < run or not ((head := _BARE_HEAD.match(text, p)) and asks(head[1]))):
+                    run = max(run, head.end(1)) if p >= run and head else run
+                    continue  # no credential by its name
                 for span in judge(kind, text[p:end], p):
                     found.add(span)
                     covered = max(covered, span, key=lambda x: x[1] - x[0])
