@@ -8,19 +8,31 @@ decide by names and types. No tree is built.
 from __future__ import annotations
 
 import ast
+import sys
 import warnings
 
 from lodestrata.llm.lexers import Fail, Tokens
 
 
+class Watched(list):
+    """Token types that remember how far they were read."""
+
+    most = 0
+
+    def __getitem__(self, i):
+        if i.__class__ is int and i > self.most:
+            self.most = i
+        return list.__getitem__(self, i)
+
+
 class Parser:
     language = ""
 
-    def __init__(self, text: str):
-        self.k = Tokens(self.language, text)
-        self.t = self.k.type
+    def __init__(self, text: str, limit: int | None = None):
+        self.k = Tokens(self.language, text, limit=limit)
+        self.t = self.k.type if limit is None else Watched(self.k.type)
         self.fresh = self.k.fresh
-        self.close = self.k.matched()
+        self.close = self.k.matched(limit is None)
         self.i = 0
 
     # helpers -----------------------------------------------------------------
@@ -2827,6 +2839,8 @@ class Rust(Parser):
 
 PARSERS = {"go": Go, "java": Java, "ts": Ts, "rust": Rust}
 LANGUAGES = ("python", *PARSERS)
+#: Calls of the parsers one within another, tens of thousands of nested brackets; they take no stack of the machine. Compilers refuse less.
+MAX_FRAMES = 1_000_000
 
 
 def python_fails(text: str) -> str | None:
@@ -2839,16 +2853,46 @@ def python_fails(text: str) -> str | None:
         return str(e.msg)
     except ValueError as e:
         return str(e)
-    except (RecursionError, MemoryError):
-        return None  # too deep to tell
+    except RecursionError:
+        return None  # parsed; only its tree is too deep to be built
+    except MemoryError:
+        return "nested deeper than the interpreter takes"
     return None
 
 
+#: Tokens of a text's beginning by which most foreign grammars are ruled out.
+BEGINNING = 40
+
+
+def begins_wrong(language: str, text: str) -> str | None:
+    """Why a text's first tokens alone, whatever follows, are not of a brace language; None if that can't be told.
+
+    The parser reads from left to right, so where it fails without having read
+    up to the end of the beginning, it fails alike on the whole text.
+    """
+    parser = None
+    try:
+        parser = PARSERS[language](text, BEGINNING)
+        parser.file()
+    except Fail as e:
+        return str(e) if parser is None or parser.t.most < BEGINNING - 8 else None
+    except RecursionError:
+        return None
+    return None
+
+
+def parses(text: str, language: str) -> bool:
+    """Whether a text is of a language, asked of texts that mostly aren't."""
+    return (language == "python" or begins_wrong(language, text) is None) and fails(language, text) is None
+
+
 def fails(language: str, text: str) -> str | None:
     """Why a text is not of the language; None if it is."""
     if language == "python":
         return python_fails(text)
+    limit = sys.getrecursionlimit()
     try:
+        sys.setrecursionlimit(max(limit, MAX_FRAMES))
         parser = PARSERS[language](text)
         parser.file()
         if parser.t[parser.i] != "END":
@@ -2856,5 +2900,7 @@ def fails(language: str, text: str) -> str | None:
     except Fail as e:
         return str(e)
     except RecursionError:
-        return None
+        return "nested deeper than compilers take"
+    finally:
+        sys.setrecursionlimit(limit)
     return None

@@ -92,7 +92,7 @@ class Tokens:
 
     __slots__ = ("type", "start", "end", "fresh", "comments", "text")
 
-    def __init__(self, language: str, text: str, strict: bool = True):
+    def __init__(self, language: str, text: str, strict: bool = True, limit: int | None = None):
         keywords, match = KEYWORDS[language], _MASTER[language].match
         types: list[str] = []
         starts: list[int] = []
@@ -101,7 +101,7 @@ class Tokens:
         comments: list[tuple[int, int]] = []
         go, ts = language == "go", language == "ts"
         p, n, new = (1 if text[:1] == "﻿" else 0), len(text), True
-        while p < n:
+        while p < n and (limit is None or len(types) < limit):
             m = match(text, p)
             kind = m.lastgroup if m else "BAD"
             if kind == "h":
@@ -167,8 +167,11 @@ class Tokens:
         fresh += [True] * 3
         self.type, self.start, self.end, self.fresh, self.comments, self.text = types, starts, ends, fresh, comments, text
 
-    def matched(self) -> list[int]:
-        """For each opening bracket the place of its closing one; raises where they do not match."""
+    def matched(self, whole: bool = True) -> list[int]:
+        """For each opening bracket the place of its closing one; raises where they do not match.
+
+        Of a text's beginning (not ``whole``), brackets may close after the end.
+        """
         to, stack = [0] * len(self.type), []
         for k, t in enumerate(self.type):
             if t == "(" or t == "[" or t == "{":
@@ -177,6 +180,9 @@ class Tokens:
                 if not stack or self.type[stack[-1]] != CLOSES[t]:
                     raise Fail(f"bracket at {self.start[k]}")
                 to[stack.pop()] = k
-        if stack:
+        if not whole:
+            for k in stack:
+                to[k] = len(self.type) - 2
+        elif stack:
             raise Fail(f"bracket at {self.start[stack[-1]]}")
         return to

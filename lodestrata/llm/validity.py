@@ -1,15 +1,18 @@
 """Problem 5: source files that do not parse.
 
-Method: each file is parsed by the grammar of its language. Where that fails, the
-other languages are ranked by the share of their own words among the tokens, and
-the file is parsed against them in that order: a foreign parse that succeeds
-tells a wrong extension, none at all tells corruption. Python is parsed by the
-running interpreter, the brace languages by the parsers of grammars.py.
+Method: each file is parsed against every supported grammar, its own and the
+others. Where several take it, languages are ranked by the weight of their own
+words and signs among the tokens. A file that its own grammar refuses has a wrong
+extension if a foreign one takes it (the likeliest by rank), and is corrupt if
+none does. Most foreign grammars are ruled out by a text's first tokens; that
+changes no verdict (see ``begins_wrong``). Python is parsed by the running
+interpreter, the brace languages by the parsers of grammars.py.
 
 One narrow stage, with no shuffle but for the rates.
 
 Defined results: null or empty content and null or unknown languages have no
-verdict (valid is null); texts too deeply nested to parse count as valid.
+verdict (valid is null); texts nested deeper than interpreter or compilers take
+are invalid, with that reason.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.grammars import LANGUAGES, fails
+from lodestrata.llm.grammars import LANGUAGES, fails, parses
 from lodestrata.llm.lexers import KEYWORDS
 
 _WORDS = {**KEYWORDS, "python": frozenset("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield None True False self".split())}
@@ -37,26 +40,29 @@ def ranking(text: str, without: str | None = None) -> list[str]:
     return sorted((lang for lang in LANGUAGES if lang != without), key=lambda lang: -score[lang])
 
 
-def verdict(language: str | None, text: str | None) -> tuple[bool | None, str | None, str | None]:
-    """(valid, the language it parses as instead, why it fails)."""
+def verdict(language: str | None, text: str | None) -> tuple[bool | None, str | None, str | None, list[str] | None]:
+    """(valid, the language it parses as instead, why it fails, all languages it parses as)."""
     if language not in LANGUAGES or not text:
-        return None, None, None
+        return None, None, None, None
     why = fails(language, text)
-    if why is None:
-        return True, None, None
-    foreign = next((lang for lang in ranking(text, language) if text.strip() and fails(lang, text) is None), None)
-    return False, foreign, why
+    others = [lang for lang in LANGUAGES if lang != language and text.strip() and parses(text, lang)]
+    taken = [*others, language] if why is None else others
+    if len(taken) > 1:
+        order = ranking(text)
+        taken.sort(key=order.index)
+    return why is None, None if why is None or not taken else taken[0], why, taken
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """``(file_id, valid, foreign, reason)`` for every row."""
+    """``(file_id, valid, foreign, reason, parses)`` for every row; ``parses`` lists every language whose grammar takes the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [verdict(lang.as_py(), text.as_py()) for lang, text in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.bool_()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], names=["file_id", "valid", "foreign", "reason"])
+            kinds = (pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=["file_id", "valid", "foreign", "reason", "parses"])
 
-    return files.select("file_id", "language_id", "content").mapInArrow(run, "file_id long, valid boolean, foreign string, reason string")
+    return files.select("file_id", "language_id", "content").mapInArrow(run, "file_id long, valid boolean, foreign string, reason string, parses array<string>")
 
 
 def rates(files: DataFrame) -> DataFrame:
