@@ -8,7 +8,8 @@ commented-out code, bare tags and the words of the name, at least MIN_WORDS
 words of prose remain. Methods whose comment is missing or only asks for the
 inherited one are joined, level by level, with the method of that name in their
 class's parents until a documented one is found or the hierarchy ends; those
-left without are dropped.
+left without are dropped. A class's parents are looked for in its file, its
+imports, its folder and its repo, in this order.
 
 Defined results: null or empty content and null or unknown languages give no
 rows; a repeated file counts once (rows are distinct); equal declarations on
@@ -494,71 +495,128 @@ def functions(language: str | None, text: str | None) -> list[Function]:
     return []
 
 
-SCHEMA = "file_id long, repo string, language_id string, symbol string, start_line int, end_line int, owner string, parents array<string>, doc string, inherits boolean, code string"
+#: What is imported: the path after the word, in quotes or plain.
+_IMPORTED = {
+    "python": re.compile(r"^[ \t]*(?:from[ \t]+([\w.]+)[ \t]+import[ \t]+([\w, \t*()]+)|import[ \t]+([\w., \t]+))", re.M),
+    "java": re.compile(r"^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+)", re.M),
+    "rust": re.compile(r"^[ \t]*(?:pub[ \t]+)?use[ \t]+([^;]+);", re.M),
+    "go": re.compile(r"^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?\"([\w./-]+)\"[ \t]*$", re.M),
+    "ts": re.compile(r"""(?:\bfrom|\bimport|\brequire\()[ \t]*["']([^"'\n]+)["']"""),
+}
+_SEGMENT = re.compile(r"[^\W\d]\w*")
+
+
+def imported(language: str | None, text: str) -> list[str]:
+    """Names of modules, packages and things that a text imports: the segments of the paths."""
+    pattern = _IMPORTED.get(language)
+    return sorted({s for m in pattern.finditer(text) for g in m.groups() if g for s in _SEGMENT.findall(g)}) if pattern else []
+
+
+SCHEMA = "file_id long, repo string, language_id string, rel_path string, imports array<string>, symbol string, start_line int, end_line int, owner string, parents array<string>, doc string, inherits boolean, code string"
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.string()]
+
 
+def declared(files: DataFrame, texts: bool = True) -> DataFrame:
+    """One row for each declaration of (file_id, repo, language_id, content and, where given, rel_path).
 
-def declared(files: DataFrame, documented: bool = False) -> DataFrame:
-    """One row for each declaration of (file_id, repo, language_id, content); only own-documented ones if asked."""
+    Imports come with declarations whose class has parents only. Without ``texts``
+    the code is null and the documentation an empty text where there is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, repos, langs = (batch.column(k).to_pylist() for k in range(3))
+            ids, repos, langs, paths = (batch.column(k).to_pylist() for k in range(4))
             rows: list[tuple] = []
-            for j, text in enumerate(batch.column(3)):
-                for f in functions(langs[j], text.as_py()):
-                    if not documented or f.doc:
-                        rows.append((ids[j], repos[j], langs[j], *f))
+            for j, text in enumerate(batch.column(4)):
+                text = text.as_py()
+                imports = None
+                for f in functions(langs[j], text):
+                    if f.parents and imports is None:
+                        imports = imported(langs[j], text)
+                    if not texts:
+                        f = f._replace(code=None, doc=None if f.doc is None else "")
+                    rows.append((ids[j], repos[j], langs[j], paths[j], imports if f.parents else None, *f))
                 if len(rows) > 500:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
 
-    return files.select("file_id", "repo", "language_id", "content").mapInArrow(run, SCHEMA)
+    path = F.col("rel_path") if "rel_path" in files.columns else F.lit(None).cast("string").alias("rel_path")
+    return files.select("file_id", "repo", "language_id", path, "content").mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.string()]
-    order = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(order, kinds, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names=names)
+
+
+def _hierarchy(rows: DataFrame) -> DataFrame:
+    """(file_id, class, parent, parent_file): where the classes that a class extends are declared.
+
+    Of equally named classes in a repo and language the one of the same file is
+    taken, else one of a file or folder whose name is imported, else one of the same
+    folder, else any; of several the least file. Every place is one row for each
+    name before the join, so nothing multiplies where a name is common.
+    """
+    key = ["repo", "language_id", "class", "place"]
+    stem, folder = F.regexp_extract("rel_path", r"([^/.]+)[^/]*$", 1), F.regexp_extract("rel_path", r"^(.*)/", 1)
+    here = [F.concat(F.lit("file "), F.col("file_id").cast("string")), F.concat(F.lit("name "), stem), F.concat(F.lit("name "), F.regexp_extract(folder, r"([^/]+)$", 1)), F.concat(F.lit("folder "), folder), F.lit("repo")]
+    classes = rows.filter("owner IS NOT NULL").select("repo", "language_id", F.col("owner").alias("class"), "file_id", "rel_path").distinct()
+    places = classes.select("repo", "language_id", "class", "file_id", F.explode(F.array_compact(F.array(*here))).alias("place")).groupBy(*key).agg(F.min("file_id").alias("parent_file"))
+    names = F.transform(F.coalesce("imports", F.array().cast("array<string>")), lambda s: F.struct(F.lit(1).alias("rank"), F.concat(F.lit("name "), s).alias("place")))
+    near = [F.struct(F.lit(k).alias("rank"), p.alias("place")) for k, p in ((0, here[0]), (2, F.coalesce(here[3], F.lit("repo"))), (3, here[4]))]
+    wanted = (
+        rows.filter("owner IS NOT NULL AND size(parents) > 0").select("repo", "language_id", "file_id", "rel_path", F.col("owner").alias("child"), "imports", F.explode("parents").alias("class")).distinct()
+        .select("repo", "language_id", "file_id", "child", "class", F.explode(F.concat(F.array(*near), names)).alias("p")).select("repo", "language_id", "file_id", "child", "class", "p.rank", "p.place")
+    )
+    best = wanted.join(places, key).groupBy("file_id", "child", "class").agg(F.min(F.struct("rank", "parent_file")).alias("b"))
+    return best.select("file_id", F.col("child").alias("class"), F.col("class").alias("parent"), F.col("b.parent_file").alias("parent_file")).filter("NOT (file_id = parent_file AND class = parent)")
+
+
+def resolved(rows: DataFrame) -> DataFrame:
+    """``(file_id, symbol, start_line, level, doc)`` of the documented functions among declarations.
+
+    Level 0 is a function's own documentation; a method that has none, or only asks
+    for the inherited one, takes that of the nearest ancestor class that documents a
+    method of the name, at the level where it is found; of several the one with the
+    least file and line. Every round climbs one level, and a class met again ends
+    its climb, so rounds are bounded by the depth of the hierarchy.
+    """
+    me = ["file_id", "symbol", "start_line"]
+    out = rows.filter("doc IS NOT NULL").select(*me, F.lit(0).alias("level"), "doc")
+    parents = cut(_hierarchy(rows))
+    waiting = rows.filter("doc IS NULL AND inherits AND size(parents) > 0 AND owner IS NOT NULL").select(*me, F.col("file_id").alias("at"), F.col("owner").alias("class"), F.array(F.concat_ws(" ", "file_id", "owner")).alias("seen"))
+    documented = rows.filter("owner IS NOT NULL AND doc IS NOT NULL").groupBy(F.col("file_id").alias("at"), F.col("owner").alias("class"), "symbol").agg(F.min(F.struct("start_line", "doc")).alias("best"))
+    documented = documented.select("at", "class", "symbol", F.struct("at", "best.start_line", "best.doc").alias("found"))
+    up = parents.select(F.col("file_id").alias("at"), "class", "parent", "parent_file")
+    level = 0
+    while True:
+        level += 1
+        climbed = waiting.join(up, ["at", "class"]).select(*me, F.col("parent_file").alias("at"), F.col("parent").alias("class"), "seen", F.concat_ws(" ", "parent_file", "parent").alias("step"))
+        climbed = climbed.filter(~F.array_contains("seen", F.col("step"))).select(*me, "at", "class", F.concat("seen", F.array("step")).alias("seen")).distinct()
+        met = cut(climbed.join(documented, ["at", "class", "symbol"], "left"))
+        if met.isEmpty():
+            return out
+        hits = met.filter("found IS NOT NULL").groupBy(*me).agg(F.min("found").alias("found"))
+        out = out.unionByName(hits.select(*me, F.lit(level).alias("level"), F.col("found.doc").alias("doc")))
+        waiting = met.filter("found IS NULL").join(hits.select(*me), me, "left_anti").drop("found")
 
 
 def found(files: DataFrame) -> DataFrame:
-    """``(file_id, symbol, start_line)`` of functions whose own documentation says something."""
-    return declared(files, documented=True).select("file_id", "symbol", "start_line").distinct()
+    """``(file_id, symbol, start_line)`` of functions whose own documentation says something: level 0 of the resolved pairs."""
+    rows = cut(declared(files, texts=False))
+    return resolved(rows).filter("level = 0").select("file_id", "symbol", "start_line").distinct()
 
 
 def pairs(files: DataFrame) -> DataFrame:
     """``(file_id, symbol, start_line, code, doc, inherited)``: functions with own or inherited documentation.
 
-    A method without own documentation takes that of the nearest ancestor class of
-    its repo and language that documents a method of the name; of several the one
-    with the least file and line. Every round climbs one level, and a class met
-    again ends its climb, so rounds are bounded by the depth of the hierarchy.
+    Own documentation stays with its code; only methods that inherit are joined.
     """
-    all_rows = cut(declared(files).dropDuplicates(["file_id", "symbol", "start_line"]))
-    key = ["repo", "language_id", "class"]
-    parents = all_rows.filter("owner IS NOT NULL AND size(parents) > 0").select("repo", "language_id", F.col("owner").alias("class"), F.explode("parents").alias("parent")).distinct()
-    documented = (
-        all_rows.filter("owner IS NOT NULL AND doc IS NOT NULL")
-        .groupBy("repo", "language_id", F.col("owner").alias("class"), "symbol")
-        .agg(F.min(F.struct("file_id", "start_line", "doc")).alias("best"))
-        .select(*key, "symbol", F.col("best.doc").alias("found"))
-    )
-    open_rows = all_rows.filter("doc IS NULL AND inherits AND size(parents) > 0").select("file_id", "symbol", "start_line", "repo", "language_id", F.explode("parents").alias("class"), F.array("owner").alias("seen"))
-    resolved = None
-    open_rows = cut(open_rows.distinct())
-    while not open_rows.isEmpty():
-        met = open_rows.join(documented, [*key, "symbol"], "left")
-        level = met.filter("found IS NOT NULL").groupBy("file_id", "symbol", "start_line").agg(F.min("found").alias("found"))
-        level = cut(level)
-        resolved = level if resolved is None else resolved.unionByName(level)
-        climb = met.filter("found IS NULL").join(level.select("file_id", "symbol", "start_line"), ["file_id", "symbol", "start_line"], "left_anti")
-        climb = climb.join(parents, key).filter(~F.array_contains("seen", F.col("parent")))
-        open_rows = cut(climb.select("file_id", "symbol", "start_line", "repo", "language_id", F.col("parent").alias("class"), F.concat("seen", F.array("class")).alias("seen")).distinct())
-    own = all_rows.filter("doc IS NOT NULL").select("file_id", "symbol", "start_line", "code", "doc", F.lit(False).alias("inherited"))
-    if resolved is None:
-        return own
-    taken = all_rows.join(resolved, ["file_id", "symbol", "start_line"]).select("file_id", "symbol", "start_line", "code", F.col("found").alias("doc"), F.lit(True).alias("inherited"))
-    return own.unionByName(taken)
+    me = ["file_id", "symbol", "start_line"]
+    rows = cut(declared(files).filter("doc IS NOT NULL OR owner IS NOT NULL").dropDuplicates(me))
+    own = rows.filter("doc IS NOT NULL").select(*me, "code", "doc", F.lit(False).alias("inherited"))
+    taken = resolved(rows.drop("code")).filter("level > 0").select(*me, F.col("doc").alias("inherited_doc"))
+    heirs = rows.filter("doc IS NULL AND inherits AND size(parents) > 0").select(*me, "code")
+    return own.unionByName(heirs.join(taken, me).select(*me, "code", F.col("inherited_doc").alias("doc"), F.lit(True).alias("inherited")))

@@ -28,13 +28,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.docpairs import found
 
-    return found(_files(spark, d, "repo"))
+    return found(_files(spark, d, "repo", "rel_path"))
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.docpairs import pairs
 
-    return pairs(_files(spark, d, "repo"))
+    return pairs(_files(spark, d, "repo", "rel_path"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
