@@ -101,23 +101,26 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "benchmark", "item_id", "text"))
 
 
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.abuse import scored
+
+    return scored(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "labels", "doc_id", "toxic"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    from lodestrata.llm.abuse import FOUND_FROM, scored
+    from lodestrata.llm.abuse import FOUND_FROM
 
-    return scored(spread(table(spark, d, "documents", "doc_id", "text"))).filter(F.col("score") >= FOUND_FROM).select("doc_id").distinct()
+    return _p8(spark, d).filter(F.col("score") >= FOUND_FROM).select("doc_id").distinct()
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    from lodestrata.llm.abuse import scored
-
-    return scored(spread(table(spark, d, "documents", "doc_id", "text")))
+    return _p8(spark, d)
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
-    from lodestrata.llm.abuse import rates, scored
+    from lodestrata.llm.abuse import rates
 
-    docs = table(spark, d, "documents", "doc_id", "text", "source")
-    return rates(docs, scored(spread(docs.select("doc_id", "text"))))
+    return rates(table(spark, d, "documents", "doc_id", "source"), _p8(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -408,14 +408,46 @@ def examples(tree):
     return out
 
 
-@pytest.mark.parametrize("name", ["_INSULT", "_ADJECTIVE", "_DISMISS", "_HATE", "_THREAT", "_SEX"])
-def test_abuse_words_of_every_alternative(name):
+@pytest.mark.parametrize("name", list(abuse._IDIOM))
+def test_abuse_words_of_every_idiom(name):
     from re import _parser as P
 
-    pattern = getattr(abuse, name)
+    pattern = abuse._IDIOM[name]
     made = [t for t in examples(P.parse(pattern.pattern)) if pattern.search(t)]
-    missed = {t for t in made if abuse.ANCHORS.isdisjoint(abuse._WORD.findall(t)) and "masturbat" not in t}
-    assert len(made) > 20 and not missed
+    missed = {t for t in made if abuse._HARMFUL.isdisjoint(abuse._WORD.findall(t))}
+    assert len(made) > 8 and not missed
+
+
+def test_abuse_weights():
+    assert abuse.fitted([]) == list(abuse.PRIOR_WEIGHTS)
+    bit = {f: 1 << k for k, f in enumerate(abuse.FEATURES)}
+    rows = [(0, 20.0, 500), (bit["insult"], 30.0, 40), (bit["loose"], 1.0, 30)]
+    w = abuse.fitted(rows)
+    assert all(x >= 0 for x in w[1:]) and w[0] > abuse.PRIOR_WEIGHTS[0]
+    assert abuse.score_of(bit["insult"], w) > 0.6 > 0.3 > abuse.score_of(bit["loose"], w) and abuse.score_of(0, w) == 0.0
+
+
+def test_abuse_fit_on_labels(spark):
+    d = spark.createDataFrame([(k, "Shut up, idiot, nobody asked you." if k % 4 == 0 else "the cache is fine") for k in range(40)] + [(None, "x")], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(40)] + [(0, 0), (1, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in abuse.scored(d, marks).collect()}
+    assert len(got) == 41 and all((got[k] >= abuse.FOUND_FROM) == (k % 4 == 0) for k in range(40))
+    assert abuse.scored(d, marks.limit(0)).count() == 41
+
+
+@pytest.mark.parametrize(
+    "text, toxic",
+    [
+        ("You people should be gassed.", True), ("Ты идиот, заткнись", True), ("You're trash and everyone despises you", True), ("I will end you tonight", True), ("all immigrants should be deported", True), ("Get out of my country, you filthy rat", True), ("Tu mérites de crever", True), ("My manager is such an asshole", True), ("women are too dumb to code", True), ("what a p a t h e t i c m o r o n wrote this?", True), ("I want to touch your body", True), ("Vous êtes des parasites", True),
+        ("Thanks for fixing the loser bracket for me, you rock", False), ("You killed the failure handler, you star", False), ("if you kill the worker you must restart it", False), ("You are lazy loading the module", False), ("We will beat you to the release", False), ("I'll cut you some slack", False), ("the naked hostname and the nude colour theme", False), ("your code is ugly", False), ("see idiot.schema and degage-header", False), ("I hate this parser, you know", False),
+    ],
+)
+def test_abuse_by_relation(scorer, text, toxic):
+    assert (scorer.score(text) >= abuse.FOUND_FROM) == toxic
+
+
+def test_restores_words_outside_the_lists(scorer):
+    assert scorer.decoder.restore("th3 m0dul3s of the p@rser") == "the modules of the parser"
 
 
 @pytest.mark.parametrize("text", ["Ces gens sont de la vermine.", "Envoie une photo nu.", "photos nus", "de la v3rm1ne, qu'on les ch4sse"])
@@ -426,7 +458,7 @@ def test_abuse_words_without_another(scorer, text):
 def test_abuse_frames(spark):
     d = spark.createDataFrame([(1, "Shut up, idiot, nobody asked you.", "chat"), (2, None, "chat"), (3, "fine text here", None)], "doc_id long, text string, source string")
     s = abuse.scored(d)
-    assert {r["doc_id"]: r["score"] >= 0.6 for r in s.collect()} == {1: True, 2: False, 3: False}
+    assert {r["doc_id"]: r["score"] >= abuse.FOUND_FROM for r in s.collect()} == {1: True, 2: False, 3: False}
     assert {r["source"]: (r["docs"], r["flagged"]) for r in abuse.rates(d, s).collect()} == {"chat": (2, 1), None: (1, 0)}
     assert abuse.scored(d.limit(0)).count() == 0
 
