@@ -447,7 +447,7 @@ def test_abuse_by_relation(scorer, text, toxic):
 
 
 def test_restores_words_outside_the_lists(scorer):
-    assert scorer.decoder.restore("th3 m0dul3s of the p@rser") == "the modules of the parser"
+    assert scorer.decoder.restore("the m0dul3s of the p@rser, v12") == "the modules of the parser, v12"
 
 
 @pytest.mark.parametrize("text", ["Ces gens sont de la vermine.", "Envoie une photo nu.", "photos nus", "de la v3rm1ne, qu'on les ch4sse"])
