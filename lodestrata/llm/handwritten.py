@@ -1,11 +1,13 @@
 """Problem 4: generated, minified, vendored and data-only source files.
 
-Method: thresholds on layout statistics of each file (mean line length,
-white-space share, share of number literals, long encoded runs, variety of line
-shapes, share of accessor lines), the same for all languages, with the marks
-that tools and third parties leave: banners that say the file itself was made or copied, and the folders that
-package managers and people keep third-party code in. Words about generated or
-vendored things elsewhere ("reads files that ... has generated") are no banner.
+Method: thresholds on layout statistics of each file, tuned for each language
+(LAYOUT): mean line length, over-long lines and what stands in them, white-space
+share, share of letters and digits, number literals, long encoded runs, variety
+of line shapes, share of accessor lines. Where layout tells nothing, the marks
+that tools and third parties leave are further evidence: banners that say the
+file itself was made or copied, and the folders that package managers and people
+keep third-party code in. Words about generated or vendored things elsewhere
+("reads files that ... has generated") are no banner.
 
 Layout is judged in one narrow stage: counts are taken on bytes and nothing is
 shuffled but ids.
@@ -29,6 +31,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +63,37 @@ _SHAPE = bytes(97 if chr(c).isalnum() or c == 95 or c >= 128 else c for c in ran
 _SHAPE_DOTTED = bytes(97 if c == 46 else x for c, x in enumerate(_SHAPE))
 _ACCENTS = str.maketrans("áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC")
 
-#: (least mean line length, least lines below which the mean says little, most share of white space) by language; None: the rest
-LAYOUT = {"ts": (150.0, 1, 0.2), "python": (150.0, 1, 0.2), None: (150.0, 1, 0.2)}
-NUMBERS_FROM, ENCODED_FROM, SHAPES_BELOW, ACCESSORS_FROM = 0.5, 0.8, 0.34, 0.2
+class Limits(NamedTuple):
+    """Thresholds of a language's layout."""
+
+    mean: float  # least mean line length of minified text
+    space: float  # most share of white space in it
+    wide: int  # length from which a line counts as over-long
+    numbers: float  # least share of number literals among the words of data
+    encoded: float  # least share of long encoded runs in data
+    alnum: float  # least share of letters and digits of data that is one run
+    accessors: float  # least share of accessor lines of made classes
+    shapes: float  # most share of different line shapes in them
+
+
+#: By language. Each limit lies between hand-written and other files of that language, as counted on the unmarked files
+#: of a sample: twice the greatest mean of hand-written lines, the white space of their sparsest twentieth, and the
+#: middle between the two sides for the shares.
+LAYOUT = {
+    "go": Limits(130, 0.12, 1000, 0.50, 0.72, 0.92, 0.19, 0.34),
+    "java": Limits(155, 0.20, 1000, 0.64, 0.77, 0.94, 0.20, 0.34),
+    "python": Limits(160, 0.15, 1000, 0.65, 0.75, 0.94, 0.20, 0.34),
+    "rust": Limits(245, 0.16, 1000, 0.50, 0.70, 0.90, 0.20, 0.34),
+    "ts": Limits(155, 0.14, 1000, 0.65, 0.77, 0.94, 0.20, 0.34),
+}
+#: For other languages the loosest of each.
+OTHERS = Limits(245, 0.12, 1000, 0.65, 0.77, 0.94, 0.20, 0.34)
+#: Least share of a file's text that stands in its over-long lines where those alone are minified.
+WIDE_SHARE = 0.5
+#: Least share of accessor lines in any language; below it line shapes are not counted.
+ACCESSORS_FROM = 0.19
+#: Least mean line length of data that is one run of letters and digits.
+RUN = 60
 
 
 def _comments(text: str) -> Iterator[tuple[str, str]]:
@@ -101,18 +132,26 @@ def banner(text: str) -> str | None:
     return None
 
 
-def statistics(text: str) -> dict[str, float]:
-    """Layout statistics of a text; lines without content do not count."""
+def statistics(text: str, wide: int = 1000) -> dict[str, float]:
+    """Layout statistics of a text; lines without content do not count. ``wide`` is the length of an over-long line."""
     raw = text.encode("utf-8", "replace")
     b = np.frombuffer(raw, np.uint8)
     ends = np.flatnonzero(b == 10)
+    begins = np.concatenate(([0], ends + 1))
     sizes = np.diff(np.concatenate(([-1], ends, [len(b)]))) - 1
-    sizes = sizes[sizes > 0]
+    begins, sizes = begins[sizes > 0], sizes[sizes > 0]
     n = max(1, len(b))
     space = int(((b == 32) | (b == 9) | (b == 10) | (b == 13)).sum())
     digit = int(((b >= 48) & (b <= 57)).sum())
     alpha = int((((b | 32) >= 97) & ((b | 32) <= 122)).sum())
     out = {"lines": len(sizes), "mean": float(sizes.mean()) if len(sizes) else 0.0, "max": int(sizes.max()) if len(sizes) else 0, "space": space / n, "alnum": (digit + alpha) / n, "digits": digit / n}
+    long = np.flatnonzero(sizes >= wide)
+    out["wide"], out["wide_space"], out["wide_alnum"] = int(sizes[long].sum()) / n, 0.0, 0.0
+    if len(long):
+        said = b"".join(raw[begins[k] : begins[k] + sizes[k]] for k in long)
+        c = np.frombuffer(said, np.uint8)
+        out["wide_space"] = int(((c == 32) | (c == 9) | (c == 13)).sum()) / len(c)
+        out["wide_alnum"] = int(((c >= 48) & (c <= 57) | ((c | 32) >= 97) & ((c | 32) <= 122)).sum()) / len(c)
     out["encoded"] = sum(len(m) for m in _RUN.findall(raw)) / n
     words = len(_WORD_RUN.findall(raw.translate(_SHAPE_DOTTED)))
     out["numbers"] = len(_NUMBER.findall(raw)) / max(1, words) if digit / n > 0.2 else digit / n
@@ -125,45 +164,61 @@ def statistics(text: str) -> dict[str, float]:
     return out
 
 
-def kind(language: str | None, path: str | None, text: str | None) -> str | None:
-    """'vendored', 'generated', 'minified' or 'data' for a file that isn't hand-written, else None."""
-    if language is None:
-        return None
-    folders = (path or "").split("/")
-    if THIRD_PARTY_FOLDERS.intersection(folders[:-1]):
-        return "vendored"
-    if MINIFIED_NAMES.search(folders[-1]):
-        return "minified"
-    if GENERATED_NAMES.search(folders[-1]):
-        return "generated"
-    if not text:
-        return None
-    if said := banner(text):
-        return said
-    s = statistics(text)
-    mean, lines, space = LAYOUT.get(language, LAYOUT[None])
-    if s["encoded"] >= ENCODED_FROM or s["numbers"] >= NUMBERS_FROM:
+def layout(language: str | None, s: dict[str, float]) -> str | None:
+    """'minified', 'generated' or 'data' by a file's layout statistics, else None."""
+    lim = LAYOUT.get(language, OTHERS)
+    if s["encoded"] >= lim.encoded or s["numbers"] >= lim.numbers or s["alnum"] >= lim.alnum and s["space"] <= lim.space / 2 and s["mean"] >= RUN:
         return "data"
-    if s["mean"] >= mean and s["lines"] >= lines and s["space"] <= space:
+    if s["mean"] >= lim.mean and s["space"] <= lim.space or s["wide"] >= WIDE_SHARE and s["wide_space"] <= lim.space / 2 and s["wide_alnum"] < lim.alnum:
         return "minified"
-    if s["accessors"] >= ACCESSORS_FROM and s["shapes"] < SHAPES_BELOW:
+    if s["accessors"] >= lim.accessors and s["shapes"] < lim.shapes:
         return "generated"
     return None
 
 
+def marked(path: str | None, text: str | None) -> tuple[str | None, str | None]:
+    """(kind, evidence) by the marks that tools and third parties leave: folders, names, banners."""
+    folders = (path or "").split("/")
+    if THIRD_PARTY_FOLDERS.intersection(folders[:-1]):
+        return "vendored", "folder"
+    if MINIFIED_NAMES.search(folders[-1]):
+        return "minified", "name"
+    if GENERATED_NAMES.search(folders[-1]):
+        return "generated", "name"
+    said = banner(text) if text else None
+    return said, said and "banner"
+
+
+def judged(language: str | None, path: str | None, text: str | None) -> tuple[str | None, str | None, str | None]:
+    """(kind, evidence, kind by marks): layout first, then marks; kind is None for hand-written files."""
+    if language is None:
+        return None, None, None
+    by_mark, evidence = marked(path, text)
+    by_layout = layout(language, statistics(text, LAYOUT.get(language, OTHERS).wide)) if text else None
+    return (by_layout, "layout", by_mark) if by_layout else (by_mark, evidence, by_mark)
+
+
+def kind(language: str | None, path: str | None, text: str | None) -> str | None:
+    """'vendored', 'generated', 'minified' or 'data' for a file that isn't hand-written, else None."""
+    return judged(language, path, text)[0]
+
+
 def classified(files: DataFrame) -> DataFrame:
-    """``(file_id, kind)`` for every row; kind is null for hand-written files and for configuration."""
+    """``(file_id, kind, evidence)`` for every row; both are null for hand-written files and for configuration.
+
+    evidence is layout, folder, name or banner; layout goes first where several tell.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [kind(lang.as_py(), path.as_py(), text.as_py()) for lang, path, text in zip(batch.column(1), batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], names=["file_id", "kind"])
+            out = [judged(lang.as_py(), path.as_py(), text.as_py()) for lang, path, text in zip(batch.column(1), batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], names=["file_id", "kind", "evidence"])
 
-    return files.select("file_id", "language_id", "file_path", "content").mapInArrow(run, "file_id long, kind string")
+    return files.select("file_id", "language_id", "file_path", "content").mapInArrow(run, "file_id long, kind string, evidence string")
 
 
 # --- copies without a mark ---------------------------------------------------
-WORDS, SIMILAR, HASHES, BANDS, MIN_SHINGLES = 5, 0.8, 64, 16, 20
+WORDS, SIMILAR, HASHES, BANDS = 5, 0.8, 64, 16
 #: Known signatures of a bucket that one join key takes; larger buckets are split over several, which changes the spread of work only.
 BUCKET_PART = 500
 _TOKEN = re.compile(r"\w+")
@@ -176,10 +231,10 @@ def _number(word: str) -> int:
 
 
 def signature(text: str) -> np.ndarray | None:
-    """MinHash of a text's distinct five-word shingles; None for short texts."""
+    """MinHash of a text's distinct five-word shingles; None for texts of fewer words."""
     words = _TOKEN.findall(text)
     n = len(words) - WORDS + 1
-    if n < MIN_SHINGLES:
+    if n < 1:
         return None
     w = np.fromiter(map(_number, words), np.uint64, len(words))
     h = w[:n].copy()
@@ -187,8 +242,6 @@ def signature(text: str) -> np.ndarray | None:
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
         h ^= h >> np.uint64(29)
     h = np.unique(h)
-    if len(h) < MIN_SHINGLES:
-        return None
     out = np.empty(HASHES, np.uint64)
     for k in range(HASHES):
         out[k] = ((h * _SEEDS[0, k]) ^ (h >> np.uint64(31)) * _SEEDS[1, k]).min()
@@ -196,20 +249,21 @@ def signature(text: str) -> np.ndarray | None:
 
 
 def _signed(files: DataFrame) -> DataFrame:
-    """(file_id, kind, sig): the kind by layout and marks, and the signature of files that are vendored or have no kind."""
+    """(file_id, kind, known, sig): the kind by layout and marks, whether marks say vendored, and the signature of those and of files of no kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, sigs = [], []
+            kinds, known, sigs = [], [], []
             for lang, path, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 text = text.as_py()
-                k = kind(lang, path, text)
-                s = signature(text) if text and lang is not None and k in (None, "vendored") else None
+                k, _, by_mark = judged(lang, path, text)
+                s = signature(text) if text and lang is not None and (k is None or by_mark == "vendored") else None
                 kinds.append(k)
+                known.append(by_mark == "vendored")
                 sigs.append(None if s is None else s.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(sigs, pa.list_(pa.int64()))], names=["file_id", "kind", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(known, pa.bool_()), pa.array(sigs, pa.list_(pa.int64()))], names=["file_id", "kind", "known", "sig"])
 
-    return files.select("file_id", "language_id", "file_path", "content").mapInArrow(run, "file_id long, kind string, sig array<long>")
+    return files.select("file_id", "language_id", "file_path", "content").mapInArrow(run, "file_id long, kind string, known boolean, sig array<long>")
 
 
 def _banded(sigs: DataFrame) -> DataFrame:
@@ -224,7 +278,7 @@ def found(files: DataFrame) -> DataFrame:
     from lodestrata.sources.tables import cut
 
     signed = cut(_signed(files))
-    known = _banded(signed.filter("kind = 'vendored' AND sig IS NOT NULL")).withColumnRenamed("sig", "other")
+    known = _banded(signed.filter("known AND sig IS NOT NULL")).withColumnRenamed("sig", "other")
     free = _banded(signed.filter("kind IS NULL AND sig IS NOT NULL"))
     parts = known.groupBy("band", "bucket").agg(F.ceil(F.count("*") / BUCKET_PART).cast("int").alias("parts"))
     known = known.join(parts, ["band", "bucket"]).select("band", "bucket", F.pmod(F.hash("other"), "parts").alias("part"), "other")
