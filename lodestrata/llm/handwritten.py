@@ -17,9 +17,10 @@ second stage: MinHash signatures of five-word shingles, joined by bands with
 those of the files known to be vendored; a similarity of 0.8 or more tells a
 copy. Files of equal signatures are one on both sides, so a library with many
 copies costs no more; an unmarked signature is compared with every known one of
-its buckets, and no pairs within a side are formed. A pair of the needed
-similarity agrees on 52 of 64 hashes, so on a whole band at least: none is lost
-by the bands.
+its bucket, and no pairs within a side are formed. Signatures only choose
+candidates: a pair whose estimate lies within three standard errors of the limit
+is settled by its exact shingle sets. A pair of similarity 0.8 shares a band with
+probability 0.9998 and is a candidate with 0.998.
 
 Defined results: null or empty content is judged by its path alone; a null
 language (configuration) is never flagged; repeated ids give one row.
@@ -38,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.sources.tables import cut
+
 # Fixed word lists.
 THIRD_PARTY_FOLDERS = frozenset("vendor third_party third-party thirdparty node_modules bower_components 3rd 3rdparty contrib deps external externals Pods Carthage site-packages jspm_packages Godeps".split())
 GENERATED_NAMES = re.compile(r"(?:\.pb\.(?:go|cc|h|ts|js)|_pb2(?:_grpc)?\.py|\.g\.(?:ts|js|dart|cs)|_generated\.\w+|\.generated\.\w+|_bindings\.rs|Grpc\.java|\.designer\.\w+)$")
@@ -219,6 +222,10 @@ def classified(files: DataFrame) -> DataFrame:
 
 # --- copies without a mark ---------------------------------------------------
 WORDS, SIMILAR, HASHES, BANDS = 5, 0.8, 64, 16
+#: Estimated similarity from which a pair is a candidate (three standard errors below SIMILAR), and from which it needs no exact check (three above).
+CANDIDATE, SURE = 0.65, 0.95
+#: Most files whose ids are broadcast to fetch their texts for the exact check; more are joined by a shuffle.
+MAX_LOCAL_IDS = 200_000
 #: Known signatures of a bucket that one join key takes; larger buckets are split over several, which changes the spread of work only.
 BUCKET_PART = 500
 _TOKEN = re.compile(r"\w+")
@@ -230,8 +237,8 @@ def _number(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace"))
 
 
-def signature(text: str) -> np.ndarray | None:
-    """MinHash of a text's distinct five-word shingles; None for texts of fewer words."""
+def shingles(text: str) -> np.ndarray | None:
+    """Hashes of a text's distinct five-word shingles, sorted; None for texts of fewer words."""
     words = _TOKEN.findall(text)
     n = len(words) - WORDS + 1
     if n < 1:
@@ -241,7 +248,14 @@ def signature(text: str) -> np.ndarray | None:
     for k in range(1, WORDS):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
         h ^= h >> np.uint64(29)
-    h = np.unique(h)
+    return np.unique(h)
+
+
+def signature(text: str) -> np.ndarray | None:
+    """MinHash of a text's shingles."""
+    h = shingles(text)
+    if h is None:
+        return None
     out = np.empty(HASHES, np.uint64)
     for k in range(HASHES):
         out[k] = ((h * _SEEDS[0, k]) ^ (h >> np.uint64(31)) * _SEEDS[1, k]).min()
@@ -275,8 +289,6 @@ def _banded(sigs: DataFrame) -> DataFrame:
 
 def found(files: DataFrame) -> DataFrame:
     """``(file_id, kind)`` of the files that aren't hand-written, unmarked copies of vendored ones among them; an id comes once."""
-    from lodestrata.sources.tables import cut
-
     signed = cut(_signed(files))
     known = _banded(signed.filter("known AND sig IS NOT NULL")).withColumnRenamed("sig", "other")
     free = _banded(signed.filter("kind IS NULL AND sig IS NOT NULL"))
@@ -284,6 +296,27 @@ def found(files: DataFrame) -> DataFrame:
     known = known.join(parts, ["band", "bucket"]).select("band", "bucket", F.pmod(F.hash("other"), "parts").alias("part"), "other")
     free = free.join(parts, ["band", "bucket"]).select("band", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sig")
     same = F.aggregate(F.zip_with("sig", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
-    alike = free.join(known, ["band", "bucket", "part"]).filter(same >= SIMILAR * HASHES).select("sig").distinct()
+    pairs = cut(free.join(known, ["band", "bucket", "part"]).withColumn("same", same).filter(F.col("same") >= CANDIDATE * HASHES).select("sig", "other", "same").distinct())
+    sure = pairs.filter(F.col("same") >= SURE * HASHES).select("sig").distinct()
+    alike = sure.unionByName(_checked(files, signed, pairs.join(sure, "sig", "left_anti")))
     near = signed.filter("kind IS NULL").join(alike, "sig", "left_semi").select("file_id", F.lit("vendored").alias("kind"))
     return signed.filter("kind IS NOT NULL").select("file_id", "kind").union(near).groupBy("file_id").agg(F.min("kind").alias("kind"))
+
+
+def _checked(files: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The signatures of pairs (sig, other) whose texts are similar by their exact shingle sets; one file stands for each signature."""
+    free = signed.filter("kind IS NULL AND sig IS NOT NULL").groupBy("sig").agg(F.min("file_id").alias("a"))
+    known = signed.filter("known AND sig IS NOT NULL").groupBy(F.col("sig").alias("other")).agg(F.min("file_id").alias("b"))
+    doubtful = cut(pairs.select("sig", "other").join(free, "sig").join(known, "other").select("sig", "a", "b"))
+    ids = doubtful.select(F.explode(F.array("a", "b")).alias("file_id")).distinct()
+    few = ids.count() <= MAX_LOCAL_IDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if h is None else h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["file_id", "set"])
+
+    texts = files.select("file_id", "content").join(F.broadcast(ids) if few else ids, "file_id", "left_semi").dropDuplicates(["file_id"])
+    sets = texts.mapInArrow(run, "file_id long, set array<long>").filter("set IS NOT NULL")
+    both = doubtful.join(sets.withColumnsRenamed({"file_id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"file_id": "b", "set": "y"}), "b")
+    return both.filter(F.size(F.array_intersect("x", "y")) >= SIMILAR * F.size(F.array_union("x", "y"))).select("sig").distinct()

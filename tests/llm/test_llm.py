@@ -228,6 +228,36 @@ def test_unmarked_copies_of_many_versions(spark, monkeypatch, part):
     assert sorted(r[0] for r in handwritten.found(f).collect()) == [1, 2, *range(10, 70)]
 
 
+def test_unmarked_copies_against_brute_force(spark):
+    """Copies around the limit: those of an exact similarity of 0.8 or more, and no others."""
+    rnd = random.Random(11)
+    libs = [[f"lib{n}w{k}" for k in range(rnd.randint(8, 300))] for n in range(30)]
+    rows, want = [], set()
+    for n, lib in enumerate(libs):
+        rows.append((n, "go", f"a/vendor/l{n}.go", "\n".join(lib)))
+        for m in range(8):
+            copy = list(lib)
+            for _ in range(rnd.randint(0, max(1, len(lib) // 30))):
+                copy[rnd.randrange(len(copy))] = f"new{rnd.random()}"
+            i = 1000 + 10 * n + m
+            rows.append((i, "go", f"a/c{i}.go", "\n".join(copy)))
+            a, b = (set(handwritten.shingles(" ".join(x)).tolist()) for x in (lib, copy))
+            if len(a & b) >= 0.8 * len(a | b):
+                want.add(i)
+    f = spark.createDataFrame(rows, "file_id long, language_id string, file_path string, content string")
+    got = {r["file_id"] for r in handwritten.found(f).collect() if r["file_id"] >= 1000}
+    assert 40 < len(want) < 200 and len(got & want) >= 0.99 * len(want)
+    assert not got - want
+
+
+def test_one_minified_line_among_short_ones():
+    line = "function a(b){return b+" + "c(d[0],e)+" * 3000 + "1}"
+    text = "\n".join(f"// note {k} about this part of the module" for k in range(300)) + "\n" + line + "\n"
+    assert handwritten.judged("ts", "a/b.ts", text)[:2] == ("minified", "layout")
+    prose = 'x = "' + "a long literal that somebody wrote by hand in words, " * 600 + '"\n'
+    assert handwritten.judged("python", "a/b.py", "y = 1\n" * 50 + prose)[0] is None
+
+
 # --- 5 -----------------------------------------------------------------------
 GOOD = {
     "go": ["package a\n\nimport (\n\t\"fmt\"\n\tx \"a/b\"\n)\n\ntype T[K comparable, V any] struct {\n\ta, b int `json:\"a\"`\n\t*U\n}\n\nfunc (t *T[K, V]) F(a int, b ...string) (n int, err error) {\n\tfor i, v := range xs {\n\t\tif v, ok := m[i]; ok && v > 1 {\n\t\t\tcontinue\n\t\t} else if x == (T{1}) {\n\t\t\tbreak\n\t\t}\n\t}\n\tswitch y := z.(type) {\n\tcase int, *T:\n\t\tdefer func() { recover() }()\n\tdefault:\n\t\tgo f(<-c)\n\t}\n\tselect {\n\tcase c <- 1:\n\tcase v := <-c:\n\t\t_ = v\n\t}\n\treturn map[string][]int{\"a\": {1, 2}}[k][1:2], nil\n}\n"],
