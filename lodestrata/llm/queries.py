@@ -25,6 +25,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(_p1_texts(spark, d)).select(name.alias("field"), F.col("rec").alias("record_id"), "from_pos", "to_pos")
 
 
+def _p1_named(df: DataFrame) -> DataFrame:
+    name = F.when(F.col("field") == 0, FIELDS[0]).otherwise(FIELDS[1])
+    return df.withColumn("field", name).withColumnRenamed("rec", "record_id")
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.spans import shared_share, shared_spans
+
+    texts = _p1_texts(spark, d)
+    return _p1_named(shared_share(texts.filter("rec IS NOT NULL"), shared_spans(texts)))
+
+
+def p1_levels(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.spans import levels
+
+    return _p1_named(levels(_p1_texts(spark, d)))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.docpairs import found
 
@@ -124,7 +142,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_files": p3_files, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p1_shares": p1_shares, "p1_levels": p1_levels, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_files": p3_files, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,13 @@ shared run of length L always shares its chosen window. Only windows of length k
 found in two records are extended to twice the length; of those, stretches whose
 whole context agrees are settled at once, and only the rest (edges of shared
 runs) are compared window by window at length L. A longer level can't change
-which characters are shared, so no candidates are carried on.
+which characters are shared, so for those none are carried on; ``levels`` doubles
+further, on the records that still hold candidates, until none survive, and tells
+the greatest level that each record shares.
+
+Texts are compared by 64-bit hashes of both halves of a window, so that a false
+match needs one half that truly agrees and a collision in the other: with c pairs
+of records that agree in one half only, c / 2 ** 64 are expected.
 
 Scale: level one moves one row of hashes for each ~(L - k + 2) / 2 characters,
 never texts; groups of copies are pre-aggregated to (least, greatest) record
@@ -201,6 +207,27 @@ def shared_spans(texts: DataFrame, min_length: int = MIN_LENGTH, max_local_ids:
     return _united(whole.unionByName(part))
 
 
+def levels(texts: DataFrame, min_length: int = MIN_LENGTH, spans: DataFrame | None = None) -> DataFrame:
+    """``(field, rec, level)``: the greatest min_length * 2 ** k for which the record holds a span of that length that another record of the field holds too.
+
+    Level by level: records whose shared runs are at least twice the level long are
+    candidates of the next one, and only their texts are read again; the doubling
+    ends where no candidates survive. Records that share nothing have no row.
+    """
+    me = ["field", "rec"]
+    found = shared_spans(texts, min_length) if spans is None else spans
+    length, out = min_length, None
+    while True:
+        runs = cut(found.groupBy(*me).agg(F.max(F.col("to_pos") - F.col("from_pos")).alias("run")))
+        step = runs.select(*me, F.lit(length).alias("level"))
+        out = step if out is None else out.unionByName(step)
+        length *= 2
+        alive = runs.filter(F.col("run") >= length).select(*me)
+        if alive.isEmpty():
+            return out.groupBy(*me).agg(F.max("level").alias("level"))
+        found = shared_spans(texts.join(alive, me, "left_semi"), length)
+
+
 def shared_share(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """For each record its length, the shared characters and their share (0 where none)."""
     own = texts.groupBy("field", "rec").agg(F.max(F.length("text")).alias("chars"))

@@ -46,6 +46,21 @@ def test_spans_brute_force(spark, seed, length):
     assert {tuple(r) for r in spans.shared_spans(df, length, max_local_ids=0).collect()} == got
 
 
+def test_span_levels_brute_force(spark):
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abcdefg") for _ in range(n))
+    a, b, c = word(90), word(41), word(19)
+    rows = [(0, 1, "x" + a + word(5)), (0, 2, word(9) + a), (0, 3, a[:50] + word(30)), (0, 4, b), (0, 5, word(3) + b + b), (0, 6, c + word(9)), (0, 7, c), (1, 8, a), (0, 9, word(60)), (0, 9, None), (0, 10, a[10:30] + word(4))]
+    want = {}
+    for n in (10, 20, 40, 80, 160):
+        for f, r, _, _ in brute_spans(rows, n):
+            want[f, r] = n
+    df = spark.createDataFrame(rows, "field int, rec long, text string")
+    got = [tuple(r) for r in spans.levels(df, 10).collect()]
+    assert {(f, r): n for f, r, n in got} == want and len(got) == len(want) and set(want.values()) == {10, 20, 40, 80}
+    assert spans.levels(df.limit(0), 10).count() == 0
+
+
 def test_spans_empty_and_share(spark):
     df = spark.createDataFrame([(0, 1, "abcdefgh" * 3), (0, 2, "x" + "abcdefgh" * 3), (0, 3, "other")], "field int, rec long, text string")
     assert spans.shared_spans(df.limit(0), 10).count() == 0
