@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -92,13 +92,13 @@ collector collection detector counter report reports rate rates policy proof tre
     "dismiss": "shut stfu gtfo verschwinde verpiss dégage fresse klappe maul gueule cállate lárgate zitti vattene cala заткнись отвали пошел",
 }
 _IDIOMS = {
-    "threat": r"\bkys\b|\b(?:burn|rot) in hell\b|\bgo (?:die|drown|rot)\b|\bkill your ?self\b|\b(?:nobody|no one|noone) (?:would|will|'d) (?:ever )?miss you\b|\b(?:world|we|everyone|everybody|team) (?:is|are|would be|'d be) better (?:off )?without you\b|\bdisappear for good\b|\bwaste of (?:air|oxygen|skin|space|breath)\b|\b(?:find out|know|knows|found out) where you(?: and your \w+)? (?:live|sleep|work)\b|\bwatch your back\b|\bmake you (?:regret|pay|suffer|cry|bleed|sorry)\b|\byou(?:'ll| will| are going to) (?:regret|be sorry|pay for)\b|\b(?:put|stick) a (?:bullet|knife) in\b|\bend your (?:miserable )?life\b|\bnever have been born\b|\b(?:i|we)(?:'ll| will| am| are)? (?:come|coming) (?:for|after) you\b|\b(?:jump off a|hang yourself|slit your|drink bleach)\b"
+    "threat": r"\bkys\b|\b(?:burn|rot) in hell\b|\bgo (?:die|drown|rot)\b|\bkill your ?self\b|\b(?:nobody|no one|noone) (?:would|will|'d) (?:ever )?miss you\b|\b(?:world|we|everyone|everybody|team) (?:is|are|would be|'d be) better (?:off )?without you\b|\bdisappear for good\b|\bwaste of (?:air|oxygen|skin|space|breath)\b|\b(?:find out|know|knows|found out) where you(?: and your \w+)? (?:live|sleep)\b|\bwatch your back\b|\bmake you (?:regret|pay|suffer|cry|bleed|sorry)\b|\byou(?:'ll| will| are going to) (?:regret|be sorry|pay for)\b|\b(?:put|stick) a (?:bullet|knife) in\b|\bend your (?:miserable )?life\b|\bnever have been born\b|\b(?:i|we)(?:'ll| will| am| are)? (?:come|coming) (?:for|after) you\b|\b(?:jump off a|hang yourself|slit your|drink bleach)\b"
     r"|\bwo du wohnst\b|\bbring(?:e)? dich um\b|\b(?:mach|schlag)e? dich (?:fertig|kaputt|tot)\b|\bou tu (?:habites|vis)\b|\bva (?:te pendre|mourir|crever)\b|\bdonde vives\b|\bte voy a (?:matar|romper|encontrar|partir|reventar)\b|\bdove abiti\b|\bwaar je woont\b|\bгде ты живешь\b|\bубей себя\b",
-    "sexual": r"\b(?:take|get) (?:off )?your (?:\w+ )?(?:shirt|clothes|top|pants|bra|dress|skirt|blouse|underwear)\b(?: off)?|\b(?:sleep|sex|bed) with (?:me|you|her|him|us)\b|\b(?:had|have|having|want|wants) (?:\w+ )?sex\b|\bsuck my\b|\bsit on my (?:lap|face)\b|\bin my bed\b|\bget (?:in|into) (?:my|your) (?:bed|pants)\b|\bgo down on (?:me|you)\b|\bfuck (?:me|you (?:hard|all night|on))\b"
+    "sexual": r"\b(?:take|get) (?:off )?your (?:\w+ )?(?:shirt|clothes|top|pants|bra|dress|skirt|blouse|underwear)\b(?: off)?|\b(?:sleep|sex|bed) with (?:me|you|her|him|us)\b|\b(?:had|have|having|want|wants) (?:\w+ )?sex\b|\bsuck my\b|\bsit on my (?:lap|face)\b|\bin my bed\b|\bget (?:in|into) (?:my|your) (?:bed|pants)\b|\bfuck (?:me|you (?:hard|all night|on))\b"
     r"|\bzieh dich aus\b|\bschlaf mit mir\b|\bcoucher avec (?:moi|toi)\b|\bdeshabille[ -]toi\b|\bdesnudate\b|\bacuestate conmigo\b|\bspogliati\b|\bтрахни\b|\bраздевайся\b",
     "dismiss": r"\bshut (?:the fuck )?up\b|\bget lost\b|\bgo to hell\b|\bcrawl back\b|\bpiss off\b|\bfuck (?:off|you|yourself)\b|\bscrew you\b|\bnobody asked you\b|\bhalt (?:die|deine) (?:dummheit )?(?:klappe|fresse)\b|\bhalt(?:'s|s)? maul\b|\bverschwinde\b|\bverpiss dich\b|\bferme[ -]la\b|\bta gueule\b|\bdegage\b(?! ?[-_./])|\bcasse[ -]toi\b|\bcallate\b|\bvete a la\b|\blargate\b|\bnadie te pregunto\b|\bvai inferno\b|\bcala a boca\b|\bhou je (?:bek|mond)\b|\bзаткнись\b|\bотвали\b|\bпошел (?:ты|вон)\b",
-    "demean": r"\b(?:nobody|no one|noone) (?:likes|loves|wants|needs|respects) (?:you|people like you)\b|\bno sirves para nada\b|\btu ne sers a rien\b|\bdu bist nichts wert\b|\byou people (?:are|disgust)\b|\byou (?:make me sick|disgust me|are nothing)\b|\btoo (?:stupid|dumb|fat|ugly|lazy) to (?:breathe|live|exist|read|think|count)\b",
-    "hate": r"\b(?:none|not one|no one) of (?:them|these people|those people) belongs?\b|\bgo back to (?:your|their) (?:own )?countr(?:y|ies)\b|\bsend (?:them|you) back (?:to|where)\b|\bqu'on les (?:chasse|vire|enferme|expulse)\b|\bno deberian? (?:vivir|estar|existir) aqui\b|\bgehoren (?:weggesperrt|abgeschoben|vergast|weg)\b|\b(?:should|must) not be allowed to (?:touch|vote|live|work|exist|breed|speak)\b|\bshould never have been let in\b",
+    "demean": r"\b(?:nobody|noone) (?:likes|loves|wants|needs|respects) (?:you|people like you)\b|\bno one (?:likes|loves|respects) (?:you|people like you)\b|\bno sirves para nada\b|\btu ne sers a rien\b|\bdu bist nichts wert\b|\byou people disgust\b|\byou (?:make me sick|disgust me)\b|\btoo (?:stupid|dumb|fat|ugly|lazy) to (?:breathe|live|exist|read|think|count)\b",
+    "hate": r"\b(?:none|not one|no one) of (?:them|these people|those people) belongs?\b|\bgo back to (?:your|their) (?:own )?countr(?:y|ies)\b|\bsend (?:them|you) back (?:to|where)\b|\bqu'on les (?:chasse|vire|enferme|expulse)\b|\bno deberian? (?:vivir|estar|existir) aqui\b|\bgehoren (?:weggesperrt|abgeschoben|vergast|weg)\b|\b(?:should|must) not be allowed to (?:touch|vote|live|work|exist|breed|speak)\b",
 }
 
 
@@ -204,11 +204,25 @@ ROLE = _roles()
 #: Roles one of which every frame and idiom needs; sentences without any score 0.
 HARM = frozenset("insult weak demean dehuman violence suffer done explicit bare intimate clothes hate exclude dismiss".split())
 #: Words of the idioms that stand in no harmful role.
-IDIOM_WORDS = frozenset("kys enferme expulse vire cry come coming miss without disappear waste live sleep work watch regret pay sorry bullet knife life born after jump yourself drink wohnst dich habites vis pendre vives matar romper encontrar partir reventar voy abiti woont живешь себя get take sex bed suck sit fuck down zieh schlaf coucher deshabille desnudate acuestate spogliati трахни раздевайся lost hell crawl piss screw asked halt halts maul ferme ta casse vete nadie inferno boca hou отвали вон likes loves wants needs respects sirves sers nichts people sick disgust nothing belong belongs back qu'on deberia deberian gehoren allowed let".split())
+IDIOM_WORDS = frozenset("kys die drown rot mourir crever disappear bullet knife born jump yourself drink wohnst dich habites vis pendre vives matar romper encontrar partir reventar voy abiti woont живешь себя sex suck sit fuck zieh schlaf coucher deshabille desnudate acuestate spogliati трахни раздевайся lost hell crawl piss screw halt halts maul ferme ta casse vete nadie inferno boca hou отвали вон sirves sers nichts sick disgust belong belongs enferme expulse vire deberia deberian gehoren breed vote".split())
+#: Those of idioms that name a person.
+IDIOM_WORDS_AIMED = frozenset("cry come coming miss without live sleep watch regret pay suffer sorry nobody noone likes loves respects".split())
 LEXICON = sorted(w for w in ROLE if w.isalpha())
 PLAIN = frozenset(LEXICON)
 _KEEN = frozenset("touch kiss lick fuck bang undress spank grope caress kussen anfassen embrasser lecher besar tocar lamer chupar baciare toccare beijar".split())
-_HARMFUL = frozenset(w for w, r in ROLE.items() if r & HARM) | IDIOM_WORDS | _KEEN
+#: Roles that do harm only to someone named in the sentence.
+AIMED = frozenset("violence suffer done clothes intimate exclude".split())
+_AIMED = frozenset(w for w, r in ROLE.items() if r & AIMED) | IDIOM_WORDS_AIMED | _KEEN
+_AIM = frozenset(w for w, r in ROLE.items() if r & {"you", "your", "people", "me"}) | {"my", "her", "him"}
+_ALONE = frozenset(w for w, r in ROLE.items() if r & (HARM - AIMED)) | IDIOM_WORDS
+
+
+def worth(words: Iterable[str]) -> bool:
+    """Whether a text of these words can have any feature."""
+    words = set(words)
+    return not _ALONE.isdisjoint(words) or not _AIMED.isdisjoint(words) and not _AIM.isdisjoint(words)
+
+
 #: Look-alike, spaced and broken spellings are decoded to words that can do harm or aim it; short words only where they can't be anything else.
 DECODED = sorted(w for w, r in ROLE.items() if w.isalpha() and len(w) > 2 and r & ((HARM - {"weak", "exclude"}) | {"you", "your", "people"}))
 
@@ -561,13 +575,13 @@ class Scorer:
         if not text or not text.strip():
             return 0
         restored = self.decoder.restore(text)
-        if _HARMFUL.isdisjoint(_WORD.findall(restored)):
+        if not worth(_WORD.findall(restored)):
             return 0
         # comment and quote marks at line starts, then line breaks inside sentences, do not matter
         restored = _LINE_MARK.sub(" ", restored)
         mask = 0
         for s in _SENTENCE.split(restored):
-            if not _HARMFUL.isdisjoint(_WORD.findall(s)):
+            if worth(_WORD.findall(s)):
                 mask |= frames(_QUOTED.sub(" ", s) if _MENTION.search(s) else s)
         return mask
 
