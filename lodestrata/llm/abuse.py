@@ -204,7 +204,7 @@ ROLE = _roles()
 #: Roles one of which every frame and idiom needs; sentences without any score 0.
 HARM = frozenset("insult weak demean dehuman violence suffer done explicit bare intimate clothes hate exclude dismiss".split())
 #: Words of the idioms that stand in no harmful role.
-IDIOM_WORDS = frozenset("kys allowed chasse country countries die drown rot mourir crever disappear bullet knife born jump yourself drink wohnst dich habites vis pendre vives matar romper encontrar partir reventar voy abiti woont живешь себя sex suck sit fuck zieh schlaf coucher deshabille desnudate acuestate spogliati трахни раздевайся lost hell crawl piss screw halt halts maul ferme ta casse vete nadie inferno boca hou отвали вон sirves sers nichts sick disgust belong belongs enferme expulse vire deberia deberian gehoren breed vote".split())
+IDIOM_WORDS = frozenset("kys back allowed chasse country countries die drown rot mourir crever disappear bullet knife born jump yourself drink wohnst dich habites vis pendre vives matar romper encontrar partir reventar voy abiti woont живешь себя sex suck sit fuck zieh schlaf coucher deshabille desnudate acuestate spogliati трахни раздевайся lost hell crawl piss screw halt halts maul ferme ta casse vete nadie inferno boca hou отвали вон sirves sers nichts sick disgust belong belongs enferme expulse vire deberia deberian gehoren breed vote".split())
 #: Those of idioms that name a person.
 IDIOM_WORDS_AIMED = frozenset("cry come coming miss without live sleep watch regret pay suffer sorry nobody noone likes loves respects".split())
 LEXICON = sorted(w for w in ROLE if w.isalpha())
