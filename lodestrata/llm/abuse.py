@@ -224,7 +224,7 @@ def worth(words: Iterable[str]) -> bool:
 
 
 #: Look-alike, spaced and broken spellings are decoded to words that can do harm or aim it; short words only where they can't be anything else.
-DECODED = sorted(w for w, r in ROLE.items() if w.isalpha() and len(w) > 2 and r & ((HARM - {"weak", "exclude"}) | {"you", "your", "people"}))
+DECODED = sorted(w for w, r in ROLE.items() if w.isalpha() and len(w) > 2 and r & ((HARM - {"weak"}) | {"you", "your", "people"}))
 
 
 LONGEST = max(map(len, DECODED))
