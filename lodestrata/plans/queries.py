@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import entropy, route_key
 from lodestrata.operators import catalog, clones, devops, evolution, graph, history, leaks, risk, rules, scoring, symbols, traffic
 from lodestrata.operators.rule_tables import LEAKS, QUALITY, SECURITY
-from lodestrata.sources.lines import code_lines, distinct_files, lines
-from lodestrata.sources.tables import table
+from lodestrata.sources.lines import code_lines, distinct_files, file_lines, lines
+from lodestrata.sources.tables import spread, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -38,6 +38,15 @@ def code(spark: SparkSession, d: str) -> DataFrame:
     return code_lines(f, "content", "file_id", "repo", "language_id", "is_test")
 
 
+def delivered_code(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of every delivery of a file: for results that are made distinct, least or greatest by file and line anyway.
+
+    What travels then are results, never texts.
+    """
+    f = table(spark, d, "source_files", "file_id", "repo", "language_id", "is_test", "content").filter("language_id IS NOT NULL")
+    return code_lines(spread(f), "content", "file_id", "repo", "language_id", "is_test")
+
+
 def findings(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "findings", "finding_id", "rule_id", "repo", "file_id", "line_no", "snippet", "author", "suppressed", "found_at")
     return f.dropDuplicates(["finding_id"])
@@ -79,7 +88,10 @@ def _re2(p: str | None) -> bool:
 # --- lines and rules ---------------------------------------------------------
 @query(f"WITH {LINES} SELECT language_id, count(*) AS n_lines, CAST(sum(length(raw)) AS BIGINT) AS chars, count(DISTINCT file_id) AS n_files FROM code GROUP BY language_id")
 def line_scan(spark, d):
-    return code(spark, d).groupBy("language_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("raw")).cast("long").alias("chars"), F.count_distinct("file_id").alias("n_files"))
+    per = spread(table(spark, d, "source_files", "file_id", "language_id", "content")).filter("language_id IS NOT NULL AND content <> ''")
+    sizes = F.transform(file_lines("content"), lambda x: F.length(x))
+    per = per.select("file_id", "language_id", F.size(sizes).alias("n"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("chars")).dropDuplicates(["file_id"])
+    return per.groupBy("language_id").agg(F.sum("n").cast("long").alias("n_lines"), F.sum("chars").cast("long").alias("chars"), F.count("*").alias("n_files"))
 
 
 @query(f"WITH {LINES} SELECT file_id, CAST(sum(length(stripped)) AS BIGINT) AS stripped_chars, CAST(sum(CAST(comment AS INT)) AS BIGINT) AS comment_lines FROM code GROUP BY file_id")
@@ -113,20 +125,20 @@ _STATE = [r for r in SECURITY if r.shape in ("guarded", "paired") and _present(r
 
 @query(f"WITH {LINES} " + " UNION ALL ".join(map(_rule_sql, _SEC)))
 def security_findings(spark, d):
-    return rules.line_findings(code(spark, d), _SEC).select("file_id", "line_no", "rule_id")
+    return rules.line_findings(delivered_code(spark, d), _SEC).select("file_id", "line_no", "rule_id").distinct()
 
 
 @query(f"WITH {LINES} " + " UNION ALL ".join(map(_rule_sql, _QUAL)))
 def quality_findings(spark, d):
-    return rules.line_findings(code(spark, d), _QUAL).select("file_id", "line_no", "rule_id")
+    return rules.line_findings(delivered_code(spark, d), _QUAL).select("file_id", "line_no", "rule_id").distinct()
 
 
 @query()
 def all_rule_findings(spark, d):
     """Every rule of both tables, with patterns that the SQL engine's expressions can't hold."""
-    c = code(spark, d)
+    c = delivered_code(spark, d)
     every = [*SECURITY, *QUALITY]
-    out = rules.line_findings(c, every).select("file_id", "line_no", "rule_id")
+    out = rules.line_findings(c, every).select("file_id", "line_no", "rule_id").distinct()
     return out.unionByName(rules.file_findings(c, every).select("file_id", "line_no", "rule_id"))
 
 
@@ -139,7 +151,7 @@ def _state_sql(rule: rules.Rule) -> str:
 
 @query(f"WITH {LINES} " + " UNION ALL ".join(map(_state_sql, _STATE)))
 def file_state_findings(spark, d):
-    return rules.file_findings(code(spark, d), _STATE).select("file_id", "line_no", "rule_id")
+    return rules.file_findings(delivered_code(spark, d), _STATE).select("file_id", "line_no", "rule_id")
 
 
 def _leak_sql(x) -> str:
@@ -177,14 +189,14 @@ def unsuppressed_findings(spark, d):
 
 @query(f"WITH {LINES} SELECT file_id, line_no FROM code WHERE regexp_matches(raw, '#\\s*noqa\\b|//\\s*nolint\\b|NOSONAR|pylint:\\s*disable(-line)?=|eslint-disable-next-line')")
 def directive_lines(spark, d):
-    return code(spark, d).filter(F.col("raw").rlike(r"#\s*noqa\b|//\s*nolint\b|NOSONAR|pylint:\s*disable(-line)?=|eslint-disable-next-line")).select("file_id", "line_no")
+    return delivered_code(spark, d).filter(F.col("raw").rlike(r"#\s*noqa\b|//\s*nolint\b|NOSONAR|pylint:\s*disable(-line)?=|eslint-disable-next-line")).select("file_id", "line_no").distinct()
 
 
 @query()
 def suppression_spans(spark, d):
     from lodestrata.operators.suppress import suppressions
 
-    return suppressions(code(spark, d)).withColumn("names", F.concat_ws(",", "names"))
+    return suppressions(delivered_code(spark, d)).withColumn("names", F.concat_ws(",", "names")).distinct()
 
 
 _WEIGHTS = " UNION ALL ".join(f"SELECT {_lit(k)} AS category, {v} AS weight" for k, v in scoring.CATEGORY_WEIGHTS.items())
@@ -410,7 +422,7 @@ def _decl_sql(patterns: dict[str, str]) -> str:
 
 @query(f"WITH {LINES}, t AS (SELECT file_id, line_no, {_decl_sql(symbols.TYPE_PATTERN)} AS name FROM code WHERE NOT comment), n AS (SELECT *, {_suffix_case(_STRUCT, 'name')} AS structure, {_suffix_case(catalog.PATTERNS, 'name')} AS pattern FROM t WHERE name <> '') SELECT file_id, line_no, name, structure, pattern FROM n WHERE structure IS NOT NULL OR pattern IS NOT NULL")
 def named_types(spark, d):
-    t = symbols.declarations(code(spark, d)).filter("kind = 'type'").select("file_id", "line_no", "name")
+    t = symbols.declarations(delivered_code(spark, d)).filter("kind = 'type'").select("file_id", "line_no", "name").distinct()
     return catalog.named_types(t)
 
 

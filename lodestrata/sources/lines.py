@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import is_comment, stripped
 
 
+def file_lines(text_col: str = "content"):
+    """The lines of a text as an array."""
+    return F.split(F.regexp_replace(F.regexp_replace(F.col(text_col), "\r\n?", "\n"), "\n\\z", ""), "\n")
+
+
 def lines(files: DataFrame, text_col: str = "content", *keep: str) -> DataFrame:
     """One row for each line: the kept columns, line_no from 1 and raw.
 
     A newline at the end makes no further line; carriage returns go. Null texts
     give no rows, an empty text none. The explode is narrow: no shuffle.
     """
-    body = F.regexp_replace(F.regexp_replace(F.col(text_col), "\r\n?", "\n"), "\n\\z", "")
-    return files.filter(F.length(text_col) > 0).select(*keep, F.posexplode(F.split(body, "\n")).alias("pos", "raw")).select(*keep, (F.col("pos") + 1).alias("line_no"), "raw")
+    return files.filter(F.length(text_col) > 0).select(*keep, F.posexplode(file_lines(text_col)).alias("pos", "raw")).select(*keep, (F.col("pos") + 1).alias("line_no"), "raw")
 
 
 def code_lines(files: DataFrame, text_col: str = "content", *keep: str) -> DataFrame:
