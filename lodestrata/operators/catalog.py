@@ -64,17 +64,15 @@ def suffixes(spark: SparkSession) -> DataFrame:
 
 
 def _longest(text, names: dict[str, str]):
-    """The longest suffix of the catalogue that a name ends with, as one expression: longer ones are asked first."""
-    out = F.lit(None).cast("string")
-    for s in sorted(names, key=lambda s: (len(s), s)):
-        out = F.when(text.endswith(s), F.lit(names[s])).otherwise(out)
-    return out
+    """The longest suffix of the catalogue that a column's text ends with, as one expression: longer ones are asked first."""
+    cases = " ".join(f"WHEN endswith({text}, '{s}') THEN '{names[s]}'" for s in sorted(names, key=lambda s: (-len(s), s)))
+    return F.expr(f"CASE {cases} END")
 
 
 def named_types(decls: DataFrame) -> DataFrame:
     """Declared types whose names tell a structure or a pattern: (name, structure, pattern). No join: the catalogue is the expression."""
     structures = {s: structure_name(s) for group in STRUCTURES.values() for s in group.split()}
-    return decls.withColumn("structure", _longest(F.col("name"), structures)).withColumn("pattern", _longest(F.col("name"), PATTERNS)).filter("structure IS NOT NULL OR pattern IS NOT NULL")
+    return decls.withColumn("structure", _longest("name", structures)).withColumn("pattern", _longest("name", PATTERNS)).filter("structure IS NOT NULL OR pattern IS NOT NULL")
 
 
 def named_algorithms(functions: DataFrame, name: str = "symbol") -> DataFrame:

@@ -28,9 +28,9 @@ def commits_once(commits: DataFrame) -> DataFrame:
 
 
 def touches(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """Commits joined with their distinct files; binary files have no counts and add nothing."""
+    """Commits that are no merges, joined with their distinct files; binary files have no counts and add nothing."""
     files = commit_files.groupBy("repo", "sha", "rel_path").agg(F.max(F.coalesce("added", F.lit(0))).alias("added"), F.max(F.coalesce("deleted", F.lit(0))).alias("deleted"))
-    return files.join(commits_once(commits), ["repo", "sha"])
+    return files.join(commits_once(commits).filter(~F.coalesce(F.col("is_merge"), F.lit(False))), ["repo", "sha"])
 
 
 def author_stats(touched: DataFrame) -> DataFrame:
@@ -60,11 +60,14 @@ def churn_weight(touched: DataFrame) -> DataFrame:
 
 
 def weekly(touched: DataFrame) -> DataFrame:
-    """Touches by repo, extension and week before the repo's last commit (0: the last), WEEKS weeks at most."""
+    """Touches by repo, lower-case extension and week of the window of WEEKS weeks that ends with the repo's last commit.
+
+    Weeks count forward from the window's begin, the oldest 0; paths without an extension don't count.
+    """
     last = touched.groupBy("repo").agg(F.max("ts").alias("last_ts"))
-    week = F.floor((seconds("last_ts") - seconds("ts")) / (7 * 86400)).cast("int")
-    ext = F.regexp_extract("rel_path", r"\.([A-Za-z0-9]+)$", 1)
-    return touched.join(last, "repo").select("repo", ext.alias("ext"), week.alias("week")).filter(F.col("week") < WEEKS).groupBy("repo", "ext", "week").agg(F.count("*").alias("touches"))
+    week = (F.lit(WEEKS - 1) - F.floor((seconds("last_ts") - seconds("ts")) / (7 * 86400))).cast("int")
+    ext = F.lower(F.regexp_extract("rel_path", r"\.([A-Za-z0-9]+)$", 1))
+    return touched.join(last, "repo").select("repo", ext.alias("ext"), week.alias("week")).filter((F.col("week") >= 0) & (F.col("ext") != "")).groupBy("repo", "ext", "week").agg(F.count("*").alias("touches"))
 
 
 def calendar_anomalies(weeks: DataFrame) -> DataFrame:
@@ -77,19 +80,20 @@ def calendar_anomalies(weeks: DataFrame) -> DataFrame:
 
 
 def hygiene(commits: DataFrame) -> DataFrame:
-    """Per repo: commits, merges, conventional subjects and their share."""
+    """Per repo: commits, merges, and of the others the conventional subjects and their share."""
     c = commits_once(commits)
-    conv = F.col("subject").rlike(CONVENTIONAL).cast("long")
-    return c.groupBy("repo").agg(F.count("*").alias("commits"), F.sum(F.coalesce(F.col("is_merge"), F.lit(False)).cast("long")).alias("merges"), F.sum(conv).alias("conventional"), F.round(F.avg(conv), 4).alias("share"))
+    merge = F.coalesce(F.col("is_merge"), F.lit(False))
+    conv = F.when(~merge, F.col("subject").rlike(CONVENTIONAL).cast("long"))
+    return c.groupBy("repo").agg(F.count("*").alias("commits"), F.sum(merge.cast("long")).alias("merges"), F.coalesce(F.sum(conv), F.lit(0)).alias("conventional"), F.round(F.coalesce(F.avg(conv), F.lit(0.0)), 4).alias("share"))
 
 
 def subject_types(commits: DataFrame) -> DataFrame:
     """Subjects by the word before their colon or, without one, their first word."""
     kind = F.lower(F.regexp_extract("subject", r"^([A-Za-z]+)", 1))
-    return commits_once(commits).groupBy("repo", kind.alias("kind")).agg(F.count("*").alias("n"))
+    return commits_once(commits).filter(~F.coalesce(F.col("is_merge"), F.lit(False))).groupBy("repo", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-def co_change(touched: DataFrame, max_files: int = 50) -> DataFrame:
+def co_change(touched: DataFrame) -> DataFrame:
     """Files changed together with each file's most frequent partner folder.
 
     Pairs are counted between a file and a folder of the same commit, not between

@@ -74,7 +74,7 @@ regexp_matches(ltrim(raw), '^(//|#|\*|/\*)') AS comment FROM raw_lines)"""
 FINDINGS = "f AS (SELECT DISTINCT finding_id, rule_id, repo, file_id, line_no, snippet, author, suppressed, found_at FROM findings)"
 FUNCS = "fn AS (SELECT DISTINCT file_id, repo, symbol, start_line, end_line, loc, ccn, params, nesting FROM crap_funcs)"
 COMMITS = "c AS (SELECT repo, sha, m.ts AS ts, m.author AS author, m.subject AS subject, m.is_merge AS is_merge FROM (SELECT repo, sha, min({'ts': ts, 'author': coalesce(author, ''), 'subject': coalesce(subject, ''), 'is_merge': is_merge}) AS m FROM commits GROUP BY repo, sha))"
-TOUCHED = COMMITS + ", t AS (SELECT c.*, cf.rel_path, cf.added, cf.deleted FROM (SELECT repo, sha, rel_path, max(coalesce(added, 0)) AS added, max(coalesce(deleted, 0)) AS deleted FROM commit_files GROUP BY repo, sha, rel_path) cf JOIN c USING (repo, sha))"
+TOUCHED = COMMITS + ", t AS (SELECT c.*, cf.rel_path, cf.added, cf.deleted FROM (SELECT repo, sha, rel_path, max(coalesce(added, 0)) AS added, max(coalesce(deleted, 0)) AS deleted FROM commit_files GROUP BY repo, sha, rel_path) cf JOIN c USING (repo, sha) WHERE NOT coalesce(is_merge, false))"
 
 
 def _lit(s: str) -> str:
@@ -252,7 +252,7 @@ def churn_weight(spark, d):
     return history.churn_weight(touched(spark, d))
 
 
-_WEEKLY = f"WITH {TOUCHED}, l AS (SELECT repo, max(ts) AS last_ts FROM t GROUP BY repo), wa AS (SELECT t.repo AS repo, regexp_extract(rel_path, '\\.([A-Za-z0-9]+)$', 1) AS ext, CAST(floor(CAST(floor(epoch_us(last_ts) / 1000000) - floor(epoch_us(ts) / 1000000) AS DOUBLE) / 604800) AS INTEGER) AS week, rel_path FROM t JOIN l USING (repo)), wk AS (SELECT repo, ext, week, count(*) AS touches FROM wa WHERE week < 76 GROUP BY repo, ext, week)"
+_WEEKLY = f"WITH {TOUCHED}, l AS (SELECT repo, max(ts) AS last_ts FROM t GROUP BY repo), wa AS (SELECT t.repo AS repo, lower(regexp_extract(rel_path, '\\.([A-Za-z0-9]+)$', 1)) AS ext, CAST(75 - floor(CAST(floor(epoch_us(last_ts) / 1000000) - floor(epoch_us(ts) / 1000000) AS DOUBLE) / 604800) AS INTEGER) AS week, rel_path FROM t JOIN l USING (repo)), wk AS (SELECT repo, ext, week, count(*) AS touches FROM wa WHERE week >= 0 AND ext <> '' GROUP BY repo, ext, week)"
 
 
 @query(_WEEKLY + " SELECT repo, ext, week, touches FROM wk")
@@ -269,13 +269,13 @@ def calendar_anomalies(spark, d):
 
 
 @query(
-    f"WITH {COMMITS} SELECT repo, count(*) AS commits, count(*) FILTER (coalesce(is_merge, false)) AS merges, count(*) FILTER (regexp_matches(subject, '{history.CONVENTIONAL}')) AS conventional, round(avg(CAST(regexp_matches(subject, '{history.CONVENTIONAL}') AS INT)), 4) AS share FROM c GROUP BY repo"
+    f"WITH {COMMITS} SELECT repo, count(*) AS commits, count(*) FILTER (coalesce(is_merge, false)) AS merges, count(*) FILTER (NOT coalesce(is_merge, false) AND regexp_matches(subject, '{history.CONVENTIONAL}')) AS conventional, round(coalesce(avg(CAST(regexp_matches(subject, '{history.CONVENTIONAL}') AS INT)) FILTER (NOT coalesce(is_merge, false)), 0.0), 4) AS share FROM c GROUP BY repo"
 )
 def commit_hygiene(spark, d):
     return history.hygiene(table(spark, d, "commits"))
 
 
-@query(f"WITH {COMMITS} SELECT repo, lower(regexp_extract(subject, '^([A-Za-z]+)', 1)) AS kind, count(*) AS n FROM c GROUP BY ALL")
+@query(f"WITH {COMMITS} SELECT repo, lower(regexp_extract(subject, '^([A-Za-z]+)', 1)) AS kind, count(*) AS n FROM c WHERE NOT coalesce(is_merge, false) GROUP BY ALL")
 def subject_types(spark, d):
     return history.subject_types(table(spark, d, "commits"))
 

@@ -21,14 +21,15 @@ def is_test(path):
 
 
 def is_generated(path, text):
-    return path.rlike(r"\.pb\.go$|_pb2\.py$|\.g\.(ts|dart)$|\.min\.js$|_generated\.") | F.substring(text, 1, 2000).rlike(r"(?i)(//|#|/\*)\s*code generated .* do not edit|@generated")
+    return path.rlike(r"\.pb\.go$|_pb2\.py$|\.g\.(ts|dart)$|\.min\.js$|_generated\.") | text.rlike(r"(?i)(//|#|/\*)\s*code generated .* do not edit|@generated")
 
 
-def read_tree(spark: SparkSession, root: str, repo: str = "", excluded: tuple[str, ...] = EXCLUDED, max_bytes: int = 10 << 20) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, repo: str = "", excluded: tuple[str, ...] = EXCLUDED, max_bytes: int | None = None) -> DataFrame:
     """Files below a root: (repo, file_path, rel_path, language_id, is_test, is_generated, bytes, modified, content).
 
-    Hidden and excluded folders are left out by path predicates; files over
-    ``max_bytes`` keep their row with null content; empty files give no row.
+    Hidden and excluded folders are left out by path predicates; every file has its
+    whole content unless a caller sets ``max_bytes``, above which a file keeps its
+    row with null content; empty files give no row.
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
@@ -36,7 +37,7 @@ def read_tree(spark: SparkSession, root: str, repo: str = "", excluded: tuple[st
     f = raw.withColumn("rel_path", rel).filter(~F.col("rel_path").rlike(r"(^|/)\.[^/]+/"))
     if excluded:
         f = f.filter(~F.arrays_overlap(F.split("rel_path", "/"), F.array(*map(F.lit, excluded))))
-    text = F.when(F.col("length") <= max_bytes, F.decode("content", "UTF-8"))
+    text = F.decode("content", "UTF-8") if max_bytes is None else F.when(F.col("length") <= max_bytes, F.decode("content", "UTF-8"))
     return f.select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "rel_path", language(F.col("rel_path")).alias("language_id"), is_test(F.col("rel_path")).alias("is_test"), is_generated(F.col("rel_path"), F.coalesce(text, F.lit(""))).alias("is_generated"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), text.alias("content"))
 
 

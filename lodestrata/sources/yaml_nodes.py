@@ -1,6 +1,8 @@
 """YAML and JSON documents as rows of nodes with their lines.
 
-(doc_id, doc_no, json_path, kind, value, line_no); kind is map, list or scalar.
+(doc_id, doc_no, json_path, kind, value, line_no); kind is map, list, scalar or
+alias. A map or list that anchors repeat is given once; its other places are
+aliases whose value is its path, so rows are bounded by the text.
 Keys that are plain names come as .name, others as ['key'] with quotes escaped;
 members of ``paths`` always come quoted. Needs PyYAML; JSON is read as YAML.
 """
@@ -35,9 +37,14 @@ def nodes(text: str | None) -> Iterator[tuple[int, str, str, str | None, int]]:
     try:
         for doc_no, root in enumerate(yaml.compose_all(text, Loader=yaml.SafeLoader)):
             todo = [("$", root)] if root else []
+            met: dict[int, str] = {}  # nodes that were given, with their paths
             while todo:
                 path, node = todo.pop()
                 line = node.start_mark.line + 1
+                if not isinstance(node, yaml.ScalarNode) and id(node) in met:
+                    out.append((doc_no, path, "alias", met[id(node)], line))
+                    continue
+                met[id(node)] = path
                 if isinstance(node, yaml.MappingNode):
                     out.append((doc_no, path, "map", None, line))
                     todo += [(_step(path, str(k.value)), v) for k, v in reversed(node.value)]
@@ -46,8 +53,6 @@ def nodes(text: str | None) -> Iterator[tuple[int, str, str, str | None, int]]:
                     todo += [(f"{path}[{k}]", v) for k, v in reversed(list(enumerate(node.value)))]
                 else:
                     out.append((doc_no, path, "scalar", node.value, line))
-                if len(out) > 2_000_000:
-                    raise ValueError("anchors that refer to one another")
     except (yaml.YAMLError, ValueError, RecursionError):
         return
     yield from out
