@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from lodestrata.plans import report_queries  # noqa: F401  (registers its queries)
 from lodestrata.plans.queries import QUERIES
 
 
