@@ -196,29 +196,35 @@ QUALITY = (
 
 #: Acquire and release: (rule id, name, languages, acquire, release, ratio, margin). Fires for all acquire lines when acquires > floor(releases * ratio) + margin.
 LEAKS = (
-    ("go.file_not_closed", "File opened and not closed", ("go",), r"os\.(Open|Create|OpenFile)\(", r"\.Close\(\)", 1.0, 0),
-    ("go.body_not_closed", "Response body not closed", ("go",), r"http\.(Get|Post|Head)\(|\.Do\(", r"Body\.Close\(\)", 1.0, 0),
-    ("go.rows_not_closed", "Rows not closed", ("go",), r"\.Query(Context)?\(", r"\.Close\(\)", 1.0, 0),
-    ("go.ticker_not_stopped", "Ticker not stopped", ("go",), r"time\.NewTicker\(", r"\.Stop\(\)", 1.0, 0),
-    ("go.cancel_not_called", "Context cancel function dropped", ("go",), r"context\.With(Cancel|Timeout|Deadline)\(", r"\bcancel\w*\(\)|defer \w*[cC]ancel", 1.0, 0),
-    ("go.mutex_not_unlocked", "Mutex locked and not unlocked", ("go",), r"\.R?Lock\(\)", r"\.R?Unlock\(\)", 1.0, 0),
-    ("go.goroutine_no_exit", "Goroutine without a way to end", ("go",), r"\bgo func\(", r"ctx\.Done\(\)|<-\w*(done|quit|stop)|wg\.|\.Wait\(\)", 4.0, 0),
-    ("java.stream_not_closed", "Stream not closed", ("java",), r"new (File(Input|Output)Stream|Buffered(Reader|Writer)|Scanner)\(", r"\.close\(\)|try \(", 1.0, 0),
-    ("java.connection_not_closed", "Connection not closed", ("java",), r"getConnection\(", r"\.close\(\)|try \(", 1.0, 0),
-    ("java.executor_not_shutdown", "Executor not shut down", ("java",), r"Executors\.new\w+\(", r"\.shutdown(Now)?\(\)", 1.0, 0),
-    ("java.thread_local_not_removed", "ThreadLocal not removed", ("java",), r"ThreadLocal<", r"\.remove\(\)", 1.0, 0),
-    ("python.file_not_closed", "File opened and not closed", ("python",), r"=\s*open\(", r"\.close\(\)|\bwith\b", 1.0, 0),
-    ("python.socket_not_closed", "Socket not closed", ("python",), r"socket\.socket\(", r"\.close\(\)|\bwith\b", 1.0, 0),
-    ("python.thread_not_joined", "Thread not joined", ("python",), r"threading\.Thread\(", r"\.join\(", 1.0, 0),
-    ("python.executor_not_shutdown", "Executor not shut down", ("python",), r"(Thread|Process)PoolExecutor\(", r"\.shutdown\(|\bwith\b", 1.0, 0),
-    ("ts.listener_not_removed", "Event listener not removed", ("ts",), r"\.addEventListener\(", r"\.removeEventListener\(|AbortController", 1.0, 0),
-    ("ts.interval_not_cleared", "Interval not cleared", ("ts",), r"\bsetInterval\(", r"\bclearInterval\(", 1.0, 0),
-    ("ts.subscription_not_ended", "Subscription not ended", ("ts",), r"\.subscribe\(", r"\.unsubscribe\(|takeUntil|async\s*pipe", 1.0, 0),
-    ("ts.observer_not_disconnected", "Observer not disconnected", ("ts",), r"new (Mutation|Resize|Intersection)Observer\(", r"\.disconnect\(", 1.0, 0),
-    ("rust.mem_forget", "Memory forgotten on purpose", ("rust",), r"mem::forget\(|Box::leak\(", r"Box::from_raw\(", 1.0, 0),
-    ("kotlin.cursor_not_closed", "Cursor not closed", ("kotlin",), r"\.rawQuery\(", r"\.close\(\)|\.use\s*\{", 1.0, 0),
-    ("swift.observer_not_removed", "Observer not removed", ("swift",), r"addObserver\(", r"removeObserver\(", 1.0, 0),
-    ("swift.timer_not_invalidated", "Timer not invalidated", ("swift",), r"Timer\.scheduledTimer\(", r"\.invalidate\(\)", 1.0, 0),
-    ("c.malloc_not_freed", "Allocation not freed", ("c", "cpp"), r"\b(m|c|re)alloc\(", r"\bfree\(", 1.0, 0),
-    ("c.fopen_not_closed", "File opened and not closed", ("c", "cpp"), r"\bfopen\(", r"\bfclose\(", 1.0, 0),
+    ("go.context_cancel", "context.With* cancel func never called", ("go",), r"context\.With(Cancel|Timeout|Deadline)\(", r"\bcancel\w*\(\)|defer \w*[cC]ancel", 1.0, 0),
+    ("go.ticker_stop", "time.Ticker never stopped", ("go",), r"time\.NewTicker\(", r"\.Stop\(\)", 1.0, 0),
+    ("go.timer_stop", "time.Timer never stopped", ("go",), r"time\.NewTimer\(", r"\.Stop\(\)", 1.0, 0),
+    ("go.file_handle", "os file handle never closed", ("go",), r"os\.(Open|Create|OpenFile)\(", r"\.Close\(\)", 1.0, 0),
+    ("go.sql_handle", "sql.DB never closed", ("go",), r"sql\.Open\(", r"\.Close\(\)", 1.0, 0),
+    ("go.http_body", "HTTP response body never closed", ("go",), r"http\.(Get|Post|Head)\(|\.Do\(", r"Body\.Close\(\)", 1.0, 0),
+    ("go.sql_rows", "sql.Rows never closed", ("go",), r"\.Query(Context)?\(", r"\.Close\(\)", 1.0, 0),
+    ("py.file_handle", "file handle never closed", ("python",), r"=\s*open\(", r"\.close\(\)|\bwith\b", 1.0, 0),
+    ("py.socket_handle", "socket never closed", ("python",), r"socket\.socket\(", r"\.close\(\)|\bwith\b", 1.0, 0),
+    ("py.threading_thread", "threading.Thread never joined", ("python",), r"threading\.Thread\(", r"\.join\(", 1.0, 0),
+    ("py.popen_handle", "subprocess.Popen never waited on", ("python",), r"subprocess\.Popen\(", r"\.(wait|communicate|terminate|kill)\(|\bwith\b", 1.0, 0),
+    ("py.asyncio_task", "asyncio task never awaited/cancelled", ("python",), r"\b(create_task|ensure_future)\(", r"\bawait\b|\.cancel\(|\bgather\(", 1.0, 0),
+    ("java.executor_leak", "ExecutorService never shut down", ("java",), r"Executors\.new\w+\(", r"\.shutdown(Now)?\(\)", 1.0, 0),
+    ("java.stream_leak", "file stream never closed", ("java",), r"new (File(Input|Output)Stream|File(Reader|Writer)|Buffered(Reader|Writer)|Scanner)\(", r"\.close\(\)|try \(", 1.0, 0),
+    ("java.jdbc_connection", "JDBC Connection never closed", ("java",), r"getConnection\(", r"\.close\(\)|try \(", 1.0, 0),
+    ("java.statement_leak", "Statement never closed", ("java",), r"\.(createStatement|prepareStatement|prepareCall)\(", r"\.close\(\)|try \(", 1.0, 0),
+    ("java.resultset_leak", "ResultSet never closed", ("java",), r"\.executeQuery\(", r"\.close\(\)|try \(", 1.0, 0),
+    ("ts.listener_leak", "addEventListener without a matching removeEventListener", ("ts",), r"\.addEventListener\(", r"\.removeEventListener\(|AbortController", 1.0, 0),
+    ("ts.interval_leak", "setInterval without a matching clearInterval", ("ts",), r"\bsetInterval\(", r"\bclearInterval\(", 1.0, 0),
+    ("ts.timeout_leak", "many setTimeout calls with no clearTimeout anywhere", ("ts",), r"\bsetTimeout\(", r"\bclearTimeout\(", 1000.0, 4),
+    ("ts.blob_url_leak", "createObjectURL without a matching revokeObjectURL", ("ts",), r"\bcreateObjectURL\(", r"\brevokeObjectURL\(", 1.0, 0),
+    ("ts.observer_leak", "MutationObserver never disconnected", ("ts",), r"new (Mutation|Resize|Intersection)Observer\(", r"\.disconnect\(", 1.0, 0),
+    ("ts.raf_leak", "requestAnimationFrame without a matching cancelAnimationFrame", ("ts",), r"\brequestAnimationFrame\(", r"\bcancelAnimationFrame\(", 1.0, 0),
+    ("rust.thread_join", "thread::spawn handle never joined", ("rust",), r"thread::spawn\(", r"\.join\(", 1.0, 0),
+    ("rust.mem_forget", "std::mem::forget leaks its argument by design", ("rust",), r"mem::forget\(|Box::leak\(", r"Box::from_raw\(", 1.0, 0),
+    ("swift.timer_invalidate", "Timer never invalidated", ("swift",), r"Timer\.scheduledTimer\(", r"\.invalidate\(\)", 1.0, 0),
+    ("swift.notification_observer", "NotificationCenter observer never removed", ("swift",), r"addObserver\(", r"removeObserver\(", 1.0, 0),
+    ("objc.notification_observer", "NotificationCenter observer never removed", ("objc",), r"addObserver:", r"removeObserver:", 1.0, 0),
+    ("c.malloc_free", "heap allocation never freed", ("c", "cpp"), r"\b(m|c|re)alloc\(", r"\bfree\(", 1.0, 0),
+    ("c.fopen_fclose", "FILE* never closed", ("c", "cpp"), r"\bfopen\(", r"\bfclose\(", 1.0, 0),
+    ("cpp.thread_join", "std::thread never joined or detached", ("cpp",), r"\bstd::thread\s+\w+", r"\.(join|detach)\(", 1.0, 0),
 )

@@ -51,12 +51,18 @@ def overall(design: Column, quality: Column, security: Column, performance: Colu
     return 0.25 * design + 0.30 * quality + 0.25 * security + 0.20 * performance
 
 
+# Levels with the least score, and the least of the weakest dimension where one is asked.
+LEVELS = (
+    ("Trainee", 0, 0), ("Junior−", 20, 0), ("Junior", 32, 0), ("Junior+ / Middle−", 44, 0), ("Middle", 55, 0), ("Middle+ / Senior−", 63, 0), ("Senior", 70, 61), ("Senior+ / Lead−", 77, 70), ("Lead", 84, 75), ("Architect", 93, 99),
+)
+
+
 def ladder(score: Column, *dimensions: Column) -> Column:
-    """Level of a score, held back by its weakest dimension."""
-    weakest = F.least(*dimensions)
-    out = F.lit("ad hoc")
-    for level, need, floor in (("emerging", 35, 15), ("defined", 50, 30), ("managed", 65, 45), ("leading", 80, 60)):
-        out = F.when((score >= need) & (weakest >= floor), level).otherwise(out)
+    """The highest level whose least score is met and whose least dimension the weakest one meets; without dimensions scores alone count."""
+    weakest = F.least(*dimensions) if len(dimensions) > 1 else dimensions[0] if dimensions else F.lit(100)
+    out = F.lit(LEVELS[0][0])
+    for level, need, floor in LEVELS[1:]:
+        out = F.when((score >= need) & (weakest >= floor) if floor else score >= need, level).otherwise(out)
     return out
 
 

@@ -79,15 +79,35 @@ def folder_smells(files: DataFrame) -> DataFrame:
     return crowded.unionByName(single)
 
 
-#: Folder words of the layers of a back end.
-LAYERS = {"api": ("api", "controller", "controllers", "handler", "handlers", "routes", "rest", "graphql"), "application": ("service", "services", "usecase", "usecases", "application", "app"), "domain": ("domain", "model", "models", "entity", "entities", "core"), "infrastructure": ("infra", "infrastructure", "repository", "repositories", "db", "database", "dao", "persistence", "storage", "adapter", "adapters", "client"), "tests": ("test", "tests", "spec", "e2e"), "tools": ("tools", "scripts", "cmd", "build", "ci", "deploy", "ops", "charts"), "shared": ("pkg", "lib", "common", "shared", "util", "utils", "internal", "src")}
+# Layers in the order in which they are asked, with the folder or file names that tell them.
+LAYERS = (
+    ("Tests", "test tests testdata __tests__"),
+    ("CLI / Entry", "cmd cli command commands main.go main.py __main__.py"),
+    ("Config / Settings", "config conf configuration settings constants"),
+    ("Auth / Security", "auth authentication authorization security jwt"),
+    ("API / Handlers", "handler handlers controller controllers api apis route routes router endpoint endpoints http rest transport views viewsets urls"),
+    ("Models / Schemas", "model models entity entities domain schema schemas dto dtos"),
+    ("Persistence", "repository repositories store stores dao persistence db database migrations orm"),
+    ("Services / Domain", "service services usecase usecases interactor logic"),
+    ("Jobs / Tasks", "task tasks job jobs worker workers queue celery"),
+    ("Infrastructure / Utils", "util utils helper helpers common pkg lib infra infrastructure middleware"),
+)
+#: Files that are tests or API descriptions by their names.
+TEST_NAME, API_NAME = r"_test\.[^/]*$|\.(test|spec)\.ts$", r"\.proto$"
+OTHER_LAYER = "Other"
 
 
 def layer(path):
-    """The layer of a path by its folder names, the nearest first; null if none tells."""
-    parts = F.slice(F.reverse(F.split(path, "/")), 2, 50)
-    names = F.create_map(*(x for k, ws in LAYERS.items() for w in ws for x in (F.lit(w), F.lit(k))))
-    return F.get(F.filter(F.transform(parts, lambda p: F.try_element_at(names, F.lower(p))), lambda x: x.isNotNull()), F.lit(0))
+    """The layer of a path: of the layers in their order the first that a part of the whole path tells; else Other."""
+    low = F.lower(path)
+    parts = F.split(low, "/")
+    out = F.lit(OTHER_LAYER)
+    for name, words in reversed(LAYERS):
+        told = F.arrays_overlap(parts, F.array(*map(F.lit, words.split())))
+        out = F.when(told | low.rlike(TEST_NAME) if name == "Tests" else told, F.lit(name)).otherwise(out)
+        if name == "CLI / Entry":
+            out = F.when(low.rlike(API_NAME), F.lit("API / Handlers")).otherwise(out)
+    return out
 
 
 def layer_bars(files: DataFrame) -> DataFrame:

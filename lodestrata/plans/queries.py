@@ -479,12 +479,12 @@ def folder_smells(spark, d):
     return symbols.folder_smells(files(spark, d))
 
 
-_LAYER_MAP = ", ".join(f"{_lit(w)}: {_lit(k)}" for k, ws in symbols.LAYERS.items() for w in ws)
+_LAYER_CASE = "CASE " + " ".join(
+    f"WHEN len(list_intersect(parts, {words.split()})) > 0" + (f" OR regexp_matches(low, {_lit(symbols.TEST_NAME)}) THEN 'Tests' WHEN regexp_matches(low, {_lit(symbols.API_NAME)}) THEN 'API / Handlers'" if name == "Tests" else f" THEN {_lit(name)}") for name, words in symbols.LAYERS
+) + " ELSE 'Other' END"
 
 
-@query(
-    f"WITH {FILES}, p AS (SELECT file_id, list_reverse(string_split(lower(rel_path), '/'))[2:] AS parts FROM files), m AS (SELECT MAP {{{_LAYER_MAP}}} AS m), l AS (SELECT file_id, list_filter(list_transform(parts, lambda x: m[x]), lambda x: x IS NOT NULL)[1] AS layer FROM p, m) SELECT layer, count(*) AS files FROM l GROUP BY layer"
-)
+@query(f"WITH {FILES}, p AS (SELECT lower(rel_path) AS low, string_split(lower(rel_path), '/') AS parts FROM files) SELECT {_LAYER_CASE} AS layer, count(*) AS files FROM p GROUP BY 1")
 def layer_bars(spark, d):
     return symbols.layer_bars(files(spark, d)).select("layer", "files")
 

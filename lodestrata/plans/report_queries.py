@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import evolution, graph, history, report, rules, symbols, windows
+from lodestrata.operators import evolution, graph, history, report, rules, scoring, symbols, windows
 from lodestrata.plans.queries import COMMITS, FILES, FINDINGS, FUNCS, LINES, QUERIES, TOUCHED, _decl_sql, code, delivered_code, files, findings, functions, query, touched
 from lodestrata.sources.tables import table
 
@@ -101,6 +101,16 @@ def files_of_risky_repos(spark, d):
     return files(spark, d).select("file_id", "repo").join(h, "repo", "left_semi").select("file_id")
 
 
+_LADDER = "CASE " + " ".join(f"WHEN overall >= {need}" + (f" AND weakest >= {least}" if least else "") + f" THEN '{name}'" for name, need, least in reversed(scoring.LEVELS)) + " END"
+
+
+@query(QUERIES["culture_measures"][1].replace("SELECT m.repo,", "SELECT m.repo AS repo,").join((f"WITH cm AS (", f"), x AS (SELECT repo, floor((security + complexity) / 2) AS overall, least(security, complexity) AS weakest FROM cm) SELECT repo, CAST(overall AS INTEGER) AS overall, {_LADDER} AS level FROM x")))
+def level_ladder(spark, d):
+    """Repos on the ladder of levels, by the mean of their security and complexity scores, held back by the weaker one."""
+    m = QUERIES["culture_measures"][0](spark, d).withColumn("overall", F.floor((F.col("security") + F.col("complexity")) / 2).cast("int"))
+    return m.select("repo", "overall", scoring.ladder(F.col("overall"), F.col("security"), F.col("complexity")).alias("level"))
+
+
 # --- windows over lines -------------------------------------------------------
 @query(
     f"WITH {LINES}, s AS (SELECT *, CASE WHEN comment THEN 0 ELSE length(stripped) - length(replace(stripped, '{{', '')) - (length(stripped) - length(replace(stripped, '}}', ''))) END AS step FROM code), w AS (SELECT file_id, coalesce(sum(step) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM s) SELECT file_id, CAST(max(depth) AS INTEGER) AS deepest, count(*) FILTER (depth > 3) AS deep_lines FROM w GROUP BY file_id"

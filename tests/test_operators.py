@@ -320,13 +320,76 @@ def test_architecture(spark):
     assert {r["technology"] for r in A.technologies(symbols.imports(c)).collect()} == {"Flask", "SQLAlchemy"}
 
 
+def test_level_ladder(spark):
+    from lodestrata.operators.scoring import ladder
+
+    df = spark.createDataFrame([(0, 0), (20, 5), (54, 10), (70, 60), (70, 61), (84, 74), (93, 99), (93, 98)], "score int, least int")
+    got = [r[0] for r in df.select(ladder(F.col("score"), F.col("least"), F.lit(100))).collect()]
+    assert got == ["Trainee", "Junior−", "Junior+ / Middle−", "Middle+ / Senior−", "Senior", "Senior+ / Lead−", "Architect", "Lead"]
+
+
+@pytest.mark.parametrize(
+    "rule, language, fire, safe",
+    [
+        ("go.timer_stop", "go", "t := time.NewTimer(d)", "t := time.NewTimer(d)\ndefer t.Stop()"), ("go.sql_rows", "go", "r, e := db.Query(q)", "r, e := db.Query(q)\ndefer r.Close()"), ("py.popen_handle", "python", "p = subprocess.Popen(c)", "p = subprocess.Popen(c)\np.wait()"), ("java.resultset_leak", "java", "ResultSet r = s.executeQuery(q);", "ResultSet r = s.executeQuery(q);\nr.close();"),
+        ("ts.timeout_leak", "ts", "setTimeout(f)\n" * 5, "setTimeout(f)\n" * 4), ("ts.raf_leak", "ts", "requestAnimationFrame(f)", "requestAnimationFrame(f)\ncancelAnimationFrame(h)"), ("rust.thread_join", "rust", "let h = thread::spawn(f);", "let h = thread::spawn(f);\nh.join();"),
+    ],
+)
+def test_leak_rules(spark, rule, language, fire, safe):
+    files = spark.createDataFrame([(0, language, False, fire), (1, language, False, safe)], "file_id long, language_id string, is_test boolean, content string")
+    got = {(r["file_id"], r["rule_id"]) for r in leaks.leaks(L.code_lines(files, "content", "file_id", "language_id", "is_test")).collect()}
+    assert (0, rule) in got and (1, rule) not in got
+
+
+@pytest.mark.parametrize("path, want", [("a/api/x_test.go", "Tests"), ("cmd/auth/x.go", "CLI / Entry"), ("x/auth/api.go", "Auth / Security"), ("api/v1.proto", "API / Handlers"), ("a/models/dao/x.py", "Models / Schemas"), ("x.py", "Other"), ("lib/main.py", "CLI / Entry"), (None, "Other")])
+def test_layers(spark, path, want):
+    from lodestrata.operators.symbols import layer
+
+    assert spark.createDataFrame([(path,)], "p string").select(layer(F.col("p"))).first()[0] == want
+
+
+def test_rule_literals():
+    from lodestrata.operators import rules as R
+
+    assert R.needed(r"\bfoo\(bar|baz") == () or set(R.needed(r"foo\(")) == {"foo("}
+    assert set(R.needed(r"(?i)\b(strcpy|STRCAT)\s*\(")) == {"strcpy", "strcat"} and R.needed(r"\w+") == ()
+    import re
+
+    pattern = re.compile(R.any_of(["ab", "abc", "x.y", "b"]))
+    assert all(pattern.search(t) for t in ("zab", "x.y", "b")) and not pattern.search("xzy a")
+
+
+def test_windows(spark):
+    from lodestrata.operators import windows
+
+    text = "if a {\n}\nf := open(x)\n\n\n\n\nclose(f)\nimport http\nhttp.get(y)\n"
+    f = spark.createDataFrame([(1, "go", False, text), (2, "go", False, "http.get(y)\n"), (3, "go", False, ""), (4, "go", False, None)], "file_id long, language_id string, is_test boolean, content string")
+    c = L.code_lines(f, "content", "file_id", "language_id", "is_test")
+    assert {(r["line_no"], r["depth"]) for r in windows.brace_depth(c).filter("file_id = 1 AND line_no < 4").collect()} == {(1, 0), (2, 1), (3, 0)}
+    assert [(r["file_id"], r["line_no"]) for r in windows.next_line(c, r"\{\s*$", r"^\}").collect()] == [(1, 1)]
+    assert [r["line_no"] for r in windows.unpaired(c, r"open\(", r"close\(").collect()] == [3]
+    assert [(r["file_id"], r["line_no"]) for r in windows.gated(c, r"^import http", r"http\.get").collect()] == [(1, 10)]
+
+
+def test_report_relations(spark):
+    from lodestrata.operators import report
+
+    ages = spark.range(1).select(*(report.age(F.lit(s)) for s in (59, 3600, 90000, 40 * 86400, 800 * 86400))).first()
+    assert list(ages) == ["0min ago", "1h ago", "1d ago", "1mo ago", "2y ago"]
+    r = spark.createDataFrame([("a", "LOW"), ("b", "HIGH"), ("c", None)], "rule_id string, severity string")
+    o = spark.createDataFrame([("a", "HIGH"), ("b", "off"), ("z", "LOW")], "rule_id string, severity string")
+    assert {tuple(x) for x in report.overlaid(r, o).collect()} == {("a", "HIGH")}
+    t = spark.createDataFrame([("x" * 81,), ("é" * 80,), (None,)], "t string")
+    assert [x[0] and len(x[0]) for x in t.select(report.shortened("t")).collect()] == [80, 80, None]
+
+
 def test_culture(spark):
     from lodestrata.operators import culture
 
     row = (1.0, 3, 4, 0, 100, 0, 0.0, 0, 0, 0, 0, 0, 70)
     df = spark.createDataFrame([row], "kloc double, structures int, algorithms int, god int, longest int, todos int, issue_points double, high int, medium int, cubes int, squares int, leaks int, design int")
     r = culture.rows(df).first()
-    assert r["security"] == 100 and r["quality"] == int(0.17 * 55 + 0.13 * 80 + 20 + 50 + 0.5) and r["performance"] == int(0.85 * 80 + 15 + 0.5) and r["level"] == "leading"
+    assert r["security"] == 100 and r["quality"] == int(0.17 * 55 + 0.13 * 80 + 20 + 50 + 0.5) and r["performance"] == int(0.85 * 80 + 15 + 0.5) and r["level"] == "Senior+ / Lead−"
     p = spark.createDataFrame([("r", 80.5, 100), ("r", 50.0, 300)], "repo string, overall double, loc int")
     assert culture.repo_level(p, "repo").first()["overall"] == 57
 
