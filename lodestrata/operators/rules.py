@@ -110,14 +110,15 @@ def _worth(rules: list[Rule]):
     return out
 
 
-def _quoted(s: str) -> str:
+def quoted(s: str) -> str:
+    """A text as a literal of SQL."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _matches(text: str, pattern: str) -> str:
     """Whether a line matches: the pattern runs only where a literal that it needs stands in the line's lower case."""
-    words = " OR ".join(f"contains({text}_low, {_quoted(w)})" for w in needed(pattern))
-    return (f"({words}) AND " if words else "") + f"{text} RLIKE {_quoted(pattern)}"
+    words = " OR ".join(f"contains({text}_low, {quoted(w)})" for w in needed(pattern))
+    return (f"({words}) AND " if words else "") + f"{text} RLIKE {quoted(pattern)}"
 
 
 def _applies(r: Rule):
@@ -132,10 +133,10 @@ def _hit(r: Rule) -> str:
     parts = [_matches(r.text, r.pattern)]
     if r.skip_tests:
         parts.append("NOT coalesce(is_test, false)")
-    parts += [f"NOT contains({r.text}_low, {_quoted(word.lower())})" for word in r.skip]
+    parts += [f"NOT contains({r.text}_low, {quoted(word.lower())})" for word in r.skip]
     if r.shape in ("both", "without"):
-        parts.append(("NOT " if r.shape == "without" else "") + f"{r.text} RLIKE {_quoted(r.pattern2)}")
-    return f"CASE WHEN {' AND '.join(parts)} THEN {_quoted(r.rule_id)} END"
+        parts.append(("NOT " if r.shape == "without" else "") + f"{r.text} RLIKE {quoted(r.pattern2)}")
+    return f"CASE WHEN {' AND '.join(parts)} THEN {quoted(r.rule_id)} END"
 
 
 def line_findings(lines: DataFrame, rules: Iterable[Rule]) -> DataFrame:
@@ -152,7 +153,7 @@ def line_findings(lines: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     groups = []
     for languages, some in by_language.items():
         hits = f"array_compact(array({', '.join(map(_hit, some))}))"
-        groups.append(f"CASE WHEN language_id IN ({', '.join(map(_quoted, languages))}) THEN {hits} ELSE array() END" if languages else hits)
+        groups.append(f"CASE WHEN language_id IN ({', '.join(map(quoted, languages))}) THEN {hits} ELSE array() END" if languages else hits)
     code = lines.filter(~F.col("comment") & (F.trim("raw") != ""))
     low = code.withColumns({"raw_low": F.lower("raw"), "stripped_low": F.lower("stripped")}).filter(_worth(rules))
     # The hits are a column of their own: a generator evaluates its argument outside generated code.

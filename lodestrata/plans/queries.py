@@ -166,7 +166,7 @@ _LEAKS = [x for x in LEAKS if {"python", "go", "java", "ts", "rust"} & set(x[2])
 
 @query(f"WITH {LINES} " + " UNION ALL ".join(map(_leak_sql, _LEAKS)))
 def leak_findings(spark, d):
-    return leaks.leaks(code(spark, d), _LEAKS).select("file_id", "rule_id", "line_no")
+    return leaks.leaks(delivered_code(spark, d), _LEAKS).select("file_id", "rule_id", "line_no")
 
 
 @query(f"WITH {FINDINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY file_id, line_no, finding_id) AS rank FROM f) SELECT rule_id, finding_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
