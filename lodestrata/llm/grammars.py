@@ -11,7 +11,7 @@ import ast
 import sys
 import warnings
 
-from lodestrata.llm.lexers import Fail, Tokens
+from lodestrata.llm.lexers import ENDS, Fail, Tokens
 
 
 class Watched(list):
@@ -55,7 +55,7 @@ class Parser:
         return False
 
     def tried(self, what, *args) -> bool:
-        """Parse if possible; otherwise stay."""
+        """Parse if possible; otherwise stay. An index beyond the tokens means that the text ended too early."""
         at, marks = self.i, self.t
         saved = None
         try:
@@ -63,7 +63,7 @@ class Parser:
                 saved = marks[:]
             what(*args)
             return True
-        except Fail:
+        except (Fail, IndexError):
             self.i = at
             if saved is not None:
                 marks[:] = saved
@@ -1720,8 +1720,7 @@ class Ts(Parser):
     def primary_type(self) -> None:
         t = self.t[self.i]
         if t == "new" or self.said("abstract") and self.t[self.i + 1] == "new":
-            while self.t[self.i] != "(" and self.t[self.i] != "<":
-                self.i += 1
+            self.i += 1 if t == "new" else 2
             self.function_type()
         elif t == "(" and self.t[self.close[self.i] + 1] == "=>" or t == "<":
             self.function_type()
@@ -2876,7 +2875,7 @@ def begins_wrong(language: str, text: str) -> str | None:
         parser.file()
     except Fail as e:
         return str(e) if parser is None or parser.t.most < BEGINNING - 8 else None
-    except RecursionError:
+    except (RecursionError, IndexError):
         return None
     return None
 
@@ -2895,10 +2894,12 @@ def fails(language: str, text: str) -> str | None:
         sys.setrecursionlimit(max(limit, MAX_FRAMES))
         parser = PARSERS[language](text)
         parser.file()
-        if parser.t[parser.i] != "END":
+        if parser.i != len(parser.t) - ENDS:
             raise parser.fail()
     except Fail as e:
         return str(e)
+    except IndexError:
+        return "unexpected END"
     except RecursionError:
         return "nested deeper than compilers take"
     finally:

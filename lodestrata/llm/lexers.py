@@ -45,6 +45,8 @@ _GO_ENDS = frozenset("ID NUM STR CHR return break continue fallthrough ++ -- ) ]
 _VALUES = frozenset("ID NUM STR TPL ) ] } this super true false null".split())
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 CLOSES = {")": "(", "]": "[", "}": "{"}
+#: Tokens END after a text, so that parsers may look ahead.
+ENDS = 3
 
 
 def _template(text: str, at: int) -> int:
@@ -161,10 +163,10 @@ class Tokens:
             starts.append(n)
             ends.append(n)
             fresh.append(False)
-        types += ["END", "END", "END"]
-        starts += [n] * 3
-        ends += [n] * 3
-        fresh += [True] * 3
+        types += ["END"] * ENDS
+        starts += [n] * ENDS
+        ends += [n] * ENDS
+        fresh += [True] * ENDS
         self.type, self.start, self.end, self.fresh, self.comments, self.text = types, starts, ends, fresh, comments, text
 
     def matched(self, whole: bool = True) -> list[int]:
@@ -182,7 +184,7 @@ class Tokens:
                 to[stack.pop()] = k
         if not whole:
             for k in stack:
-                to[k] = len(self.type) - 2
+                to[k] = len(self.type) - ENDS
         elif stack:
             raise Fail(f"bracket at {self.start[stack[-1]]}")
         return to

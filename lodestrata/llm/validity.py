@@ -8,7 +8,9 @@ none does. Most foreign grammars are ruled out by a text's first tokens; that
 changes no verdict (see ``begins_wrong``). Python is parsed by the running
 interpreter, the brace languages by the parsers of grammars.py.
 
-One narrow stage, with no shuffle but for the rates.
+One narrow stage, with no shuffle but for the rates. The interpreter keeps every
+name that its parser has read for as long as it runs, so each batch is parsed in a
+process of its own (see ``apart``); a worker's memory doesn't grow with the table.
 
 Defined results: null or empty content and null or unknown languages have no
 verdict (valid is null); texts nested deeper than interpreter or compilers take
@@ -17,9 +19,14 @@ are invalid, with that reason.
 
 from __future__ import annotations
 
+import os
+import pickle
 import re
+import traceback
+import warnings
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,12 +60,52 @@ def verdict(language: str | None, text: str | None) -> tuple[bool | None, str |
     return why is None, None if why is None or not taken else taken[0], why, taken
 
 
+def apart(work: Callable[[], Any]) -> Any:
+    """The result of ``work``, done in a forked process that ends with it; its errors are raised here."""
+    if not hasattr(os, "fork"):
+        return work()
+    source, sink = os.pipe()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DeprecationWarning)  # of threads; the child uses none
+        pid = os.fork()
+    if not pid:
+        status = 1
+        try:
+            os.close(source)
+            try:
+                said = True, work()
+            except Exception:
+                said = False, traceback.format_exc()
+            with open(sink, "wb") as f:
+                pickle.dump(said, f)
+            status = 0
+        finally:
+            os._exit(status)
+    os.close(sink)
+    try:
+        with open(source, "rb") as f:
+            said = f.read()
+    finally:
+        status = os.waitstatus_to_exitcode(os.waitpid(pid, 0)[1])
+    if status:
+        raise RuntimeError(f"the parsing process ended with {status}")
+    done, result = pickle.loads(said)
+    if not done:
+        raise RuntimeError(f"the parsing process failed:\n{result}")
+    return result
+
+
+def verdicts(languages: pa.Array, texts: pa.Array) -> list[tuple[bool | None, str | None, str | None, list[str] | None]]:
+    """The verdict of each text of a batch."""
+    return apart(lambda: [verdict(lang.as_py(), text.as_py()) for lang, text in zip(languages, texts, strict=True)])
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """``(file_id, valid, foreign, reason, parses)`` for every row; ``parses`` lists every language whose grammar takes the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [verdict(lang.as_py(), text.as_py()) for lang, text in zip(batch.column(1), batch.column(2), strict=True)]
+            out = verdicts(batch.column(1), batch.column(2))
             kinds = (pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=["file_id", "valid", "foreign", "reason", "parses"])
 

@@ -1,7 +1,10 @@
 """Training-data operators against brute force, exact round trips and hand-made cases."""
 
+import os
 import random
+import sys
 
+import pyarrow as pa
 import pytest
 
 from lodestrata.llm import abuse, docpairs, grammars, handwritten, leakage, lexers, queries, secrets, spans, tokenize, validity
@@ -316,6 +319,35 @@ def test_beginnings_rule_out_rightly(spark, sf):
     assert all(grammars.parses(r["content"], lang) == (grammars.fails(lang, r["content"]) is None) for r in files for lang in grammars.LANGUAGES)
 
 
+@pytest.mark.parametrize("language, text", [("ts", "let x: new"), ("ts", "let x: abstract new;"), ("ts", "function f(a: new"), ("rust", "fn f() {}\n#[a"), ("rust", "fn f() {}\n#[i\n" + "fn g() { let a = 1; }\n" * 9)])
+def test_texts_that_end_too_early_are_refused(language, text):
+    assert grammars.fails(language, text) is not None and not grammars.parses(text, language)
+    assert validity.verdict(language, text)[:2] == (False, None)
+
+
+def test_constructor_types_are_parsed():
+    assert grammars.fails("ts", "let x: new (a: string) => A; let y: abstract new <T>(b: T) => B;") is None
+    assert grammars.fails("ts", "let x: new a b (c: string) => A;") is not None
+
+
+def test_names_of_parsed_texts_are_not_kept():
+    text = "kept_by_the_parser_{} = 1\n"
+    batch = pa.array(["python", "go"]), pa.array([text.format(1), text.format(2)])
+    assert [v[:2] for v in validity.verdicts(*batch)] == [(True, None), (False, "python")]
+    for k in (1, 2):
+        name = text.format(k).split()[0]
+        assert sys.intern(name) is name  # nobody else holds it
+
+
+def test_errors_of_the_parsing_process_are_raised(monkeypatch):
+    monkeypatch.setattr(validity, "verdict", lambda *row: 1 // 0)
+    with pytest.raises(RuntimeError, match="ZeroDivisionError"):
+        validity.verdicts(pa.array(["go"]), pa.array(["x"]))
+    monkeypatch.setattr(validity, "verdict", lambda *row: os._exit(9))
+    with pytest.raises(RuntimeError, match="ended with 9"):
+        validity.verdicts(pa.array(["go"]), pa.array(["x"]))
+
+
 def test_validity(spark):
     go = GOOD["go"][0]
     rows = [(1, "r", "go", go), (2, "r", "ts", go), (3, "r", "python", "x = (\n"), (4, "r", None, "x"), (5, "r", "go", ""), (6, "r", "go", None), (1, "r", "go", go)]
